@@ -36,3 +36,29 @@ def targets(sizes):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def set_join(docs, k, percent):
+    """docs: [(id, text)] -> {id: (n_shingles, component_id)}."""
+    sets = {}
+    for i, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in sets.items():
+        seen = Counter(j for x in s for j in where[x] if j < i)
+        for j, n in seen.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(s), root(i)) for i, s in sets.items()}
