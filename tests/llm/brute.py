@@ -62,3 +62,18 @@ def set_join(docs, k, percent):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def drop_repeats(docs, window):
+    """docs: [(id, text)] with distinct ids -> {id: (n_words, n_removed, kept text)}."""
+    owner = {}
+    for i, t in sorted(docs):
+        w = (t or "").encode().split()
+        for j in range(len(w) - window + 1):
+            owner.setdefault(tuple(w[j : j + window]), i)
+    out = {}
+    for i, t in docs:
+        w = (t or "").encode().split()
+        gone = {j + x for j in range(len(w) - window + 1) if owner[tuple(w[j : j + window])] < i for x in range(window)}
+        out[i] = len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+    return out
