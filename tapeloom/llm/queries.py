@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, repeats, set_join, sharding
+from . import mixing, quality_rules, repeats, set_join, sharding, token_tables
 from .common import table
 
 
+def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    shards = token_tables.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_tables.read(shards).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -32,4 +39,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_rules, op6_substring_dedup, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op6_substring_dedup, op8_sharding, op9_mixing)}
