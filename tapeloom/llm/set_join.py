@@ -34,6 +34,8 @@ from .common import cut, small_arrow_batches
 from .graph import components
 
 CELLS = 1 << 20
+#: Up to this size, ids are broadcast to the texts.
+BROADCAST_BYTES = 64 << 20
 _SLICES = 64
 
 
@@ -57,6 +59,12 @@ def key_of(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(text.split()), digest_size=8).digest(), "little", signed=True)
 
 
+def parts_of(s: np.ndarray) -> bytes:
+    """How many of a set's shingles lie in each of 64 parts of the hash space, up to 255: sets overlap by no more than
+    the sum of the smaller counts."""
+    return np.minimum(np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
 def need(a, b, sim: Fraction):
     """Least overlap of sets of sizes a and b with at least that similarity."""
     p, q = sim.numerator, sim.denominator
@@ -72,10 +80,10 @@ def _profile(k: int, id_col: str, text_col: str):
             sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             for a in range(0, len(sets), 4096):
                 np.add.at(cells, (np.concatenate(sets[a : a + 4096]) >> np.uint64(44)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array([key_of(t) for t in raw], pa.int64()), "cell": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array([key_of(t) for t in raw], pa.int64()), "parts": pa.array([parts_of(s) for s in sets], pa.binary()), "cell": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
         step = CELLS // _SLICES
         if cells.any():
-            yield pa.RecordBatch.from_pydict({"id": pa.nulls(_SLICES, pa.int64()), "n_shingles": pa.nulls(_SLICES, pa.int64()), "key": pa.nulls(_SLICES, pa.int64()), "cell": pa.array(range(_SLICES), pa.int32()), "counts": pa.array([ta.pack(cells[i * step : (i + 1) * step].astype(np.uint32)) for i in range(_SLICES)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": pa.nulls(_SLICES, pa.int64()), "n_shingles": pa.nulls(_SLICES, pa.int64()), "key": pa.nulls(_SLICES, pa.int64()), "parts": pa.nulls(_SLICES, pa.binary()), "cell": pa.array(range(_SLICES), pa.int32()), "counts": pa.array([ta.pack(cells[i * step : (i + 1) * step].astype(np.uint32)) for i in range(_SLICES)], pa.binary())})
 
     return of
 
@@ -216,23 +224,56 @@ def _across(sim: Fraction):
     return of
 
 
-def _sets(k: int, key_col: str, text_col: str):
+def _sets(k: int, text_col: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in ta.chunks(batches, [key_col, text_col]):
-            h, first = shingles([ta.lower(t) for t in texts], k)
+        for (texts,) in ta.chunks(batches, [text_col]):
+            raw = [ta.lower(t) for t in texts]
+            h, first = shingles(raw, k)
             sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
             offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["key", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(t) for t in raw], pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sets)))], names=["key", "grams"])
 
     return of
 
 
+def sets_of(docs: DataFrame, keys: DataFrame, classes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, grams) of the classes in keys, from the text of each one's first document.
+
+    The ids go to the texts where they are few enough to broadcast (their count is known); else both are shuffled.
+    """
+    wanted = cut(keys.distinct().join(classes, "key").select(F.col("id").alias("__id")))
+    if wanted.count() * 16 <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, docs[id_col] == wanted["__id"], "left_semi").select(text_col)
+    return cut(texts.mapInArrow(_sets(k, text_col), "key long, grams array<long>"))
+
+
+def _may_reach(sim: Fraction):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if t.num_rows:
+                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("p", "q"))
+                both = np.minimum(x, y)
+                m, n = (t.column(c).to_numpy() for c in ("m", "n"))
+                able = (both.sum(axis=1, dtype=np.int64) >= need(m, n, sim)) | (both == 255).any(axis=1)
+                yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(able))
+
+    return of
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, sim: Fraction) -> DataFrame:
+    """The pairs (a, b) whose part counts allow enough overlap: all that have it, and few others."""
+    x = classes.select(F.col("key").alias("a"), F.col("n_shingles").alias("m"), F.col("parts").alias("p"))
+    y = classes.select(F.col("key").alias("b"), F.col("n_shingles").alias("n"), F.col("parts").alias("q"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "p", "q").mapInArrow(_may_reach(sim), "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, sim: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, compared whole."""
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return two.filter(sim.denominator * both >= sim.numerator * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return two.filter(sim.denominator * both >= sim.numerator * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
 def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,9 +282,9 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     small_arrow_batches(spark)
     sim = Fraction(percent, 100)
     docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    rows = cut(docs.mapInArrow(_profile(k, id_col, text_col), "id long, n_shingles long, key long, cell int, counts binary"))
+    rows = cut(docs.mapInArrow(_profile(k, id_col, text_col), "id long, n_shingles long, key long, parts binary, cell int, counts binary"))
     levels = spark.sparkContext.broadcast(frequency_levels(rows.filter("cell is not null").select("cell", "counts")))
-    narrow = rows.filter("cell is null").select("id", "n_shingles", "key")
+    narrow = rows.filter("cell is null").select("id", "n_shingles", "key", "parts")
     total = narrow.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     groups = max(spark.sparkContext.defaultParallelism, int(total * (100 - percent) / 100) // 400_000 + 1)
 
@@ -251,21 +292,18 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     found = blobs.groupBy("grp").applyInArrow(_lists(sim), LISTS)
     lists = cut(found.dropDuplicates(["list"]))
     tied = lists.select("pivot", F.explode(F.arrays_zip("keys", "near")).alias("m")).filter("m.near").select("pivot", F.col("m.keys").alias("key"))
-    stars = cut(tied.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct())
-
-    classes = narrow.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"))
-    asked = lists.select(F.explode("keys").alias("key")).distinct().join(classes, "key")
-    wanted = asked.select("key", F.col("id").alias("__rep"))
-    texts = docs.join(wanted, docs[id_col] == wanted["__rep"]).select("key", text_col)
-    sets = cut(texts.mapInArrow(_sets(k, "key", text_col), "key long, grams array<long>").dropDuplicates(["key"]))
-
-    first = cut(verify(stars, sets, sim))
+    stars = tied.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
+    classes = cut(narrow.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts")))
+    stars = cut(plausible(stars, classes, sim))
+    both_ends = F.explode(F.array("a", "b")).alias("key")
+    first = cut(verify(stars, sets_of(docs, stars.select(both_ends), classes, k, id_col, text_col), sim))
     near = components(first).withColumnRenamed("node", "key")
     members = lists.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("list", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
     placed = members.join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
     split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 2").select("list")
     more = placed.join(split, "list").groupBy("list").applyInArrow(_across(sim), "a long, b long").distinct()
-    second = verify(more.join(stars, ["a", "b"], "left_anti"), sets, sim)
+    more = cut(plausible(more.join(stars, ["a", "b"], "left_anti"), classes, sim))
+    second = verify(more, sets_of(docs, more.select(both_ends), classes, k, id_col, text_col), sim)
 
     # From classes to documents: a class's least id stands for it.
     joined = cut(first.unionByName(second))
@@ -273,7 +311,7 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     edges = joined.join(small.select(F.col("key").alias("a"), F.col("least_id").alias("x")), "a").join(small.select(F.col("key").alias("b"), F.col("least_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = components(edges)
     of_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    return narrow.join(of_class, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return narrow.drop("parts").join(of_class, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
