@@ -300,7 +300,7 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     near = components(first).withColumnRenamed("node", "key")
     members = lists.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("list", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
     placed = members.join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi and n > 2").select("list")
+    split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("list")
     more = placed.join(split, "list").groupBy("list").applyInArrow(_across(sim), "a long, b long").distinct()
     more = cut(plausible(more.join(stars, ["a", "b"], "left_anti"), classes, sim))
     second = verify(more, sets_of(docs, more.select(both_ends), classes, k, id_col, text_col), sim)
