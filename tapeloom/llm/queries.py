@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, repeats, set_join, sharding, token_tables
+from . import decontaminate, license_scan, mixing, quality_rules, repeats, set_join, sharding, token_tables
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -38,5 +42,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op6_substring_dedup, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)}

@@ -14,7 +14,8 @@ Skips of two kinds keep the lists from being paired out:
 Candidates are verified exactly on whole sets (64-bit hashes of shingles; two different shingles share one with a
 chance below 1e-3 in 10^8). Nothing is capped: every pair that could link two components is verified.
 
-Defined results: a null or empty text has no shingles and links with nothing; repeated rows are copies of each other;
+Defined results: a null or empty text has no shingles and links with nothing; rows
+without id stand for no component; repeated rows are copies of each other;
 a text with fewer words than k is one shingle; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -315,7 +316,7 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df of which one document stays for each component: that with the least id. Rows without text stay."""
+    """The rows of df of which one document stays for each component: that with the least id. Rows without text or id stay."""
     linked = link(df, k, percent, id_col, text_col)
     keep = linked.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.join(keep, id_col, "left_semi").select(*df.columns)
+    return df.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
