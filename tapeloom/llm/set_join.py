@@ -149,7 +149,7 @@ def _prefixes(k: int, sim: Fraction, levels, groups: int, text_col: str):
 
 
 BLOB = "grp long, keys binary, sizes binary, types binary, tok binary, who binary, pos binary"
-LISTS = "list long, pivot long, keys array<long>, sizes array<long>, near array<boolean>"
+LISTS = "list long, pivot long, keys array<long>, sizes array<long>, reach array<long>, near array<boolean>"
 
 
 def _lists(sim: Fraction):
@@ -172,7 +172,7 @@ def _lists(sim: Fraction):
         tok, key, size, typ, pos = tok[fresh], key[fresh], size[fresh], typ[fresh], pos[fresh]
         cuts = np.flatnonzero(np.diff(tok, prepend=~tok[:1]))
         ends = np.append(cuts[1:], len(tok))
-        found, seen = {"list": [], "pivot": [], "keys": [], "sizes": [], "near": []}, set()
+        found: dict[int, tuple] = {}
         p, q = sim.numerator, sim.denominator
         for a, b in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1], strict=True):
             # Blocks of sizes that may be similar: a run ends where the next set is too large for the one before it.
@@ -188,26 +188,25 @@ def _lists(sim: Fraction):
                 pivot = able[np.lexsort((key[able], -typ[able].astype(np.int64)))[0]]
                 left = np.minimum(size[able] - pos[able], size[pivot] - pos[pivot])
                 near = (left >= need(size[able], size[pivot], sim)) & (able != pivot)
-                ks = key[able]
-                order = np.argsort(ks)
-                name = int.from_bytes(hashlib.blake2b(ks[order].tobytes(), digest_size=8).digest(), "little", signed=True)
-                if name in seen:
-                    continue
-                seen.add(name)
-                for n, v in (("list", name), ("pivot", int(key[pivot])), ("keys", ks[order].tolist()), ("sizes", size[able][order].tolist()), ("near", near[order].tolist())):
-                    found[n].append(v)
-        kinds = {"list": pa.int64(), "pivot": pa.int64(), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "near": pa.list_(pa.bool_())}
-        return pa.table({n: pa.array(v, kinds[n]) for n, v in found.items()})
+                order = np.argsort(key[able])
+                ks, reach, near = key[able][order], (size[able] - pos[able])[order], near[order]
+                name = int.from_bytes(hashlib.blake2b(ks.tobytes(), digest_size=8).digest(), "little", signed=True)
+                if name in found:  # the same sets share another shingle: what either place allows holds
+                    reach, near = np.maximum(reach, found[name][3]), near | found[name][4]
+                found[name] = int(key[pivot]), ks, size[able][order], reach, near
+        kinds = {"list": pa.int64(), "pivot": pa.int64(), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "reach": pa.list_(pa.int64()), "near": pa.list_(pa.bool_())}
+        columns = [list(found), *zip(*found.values(), strict=True)] if found else [[]] * 6
+        return pa.table({n: pa.array([x if np.isscalar(x) else list(x) for x in c], k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
 
     return of
 
 
 def _across(sim: Fraction):
-    """Pairs of a list's sets that are in different components and whose sizes allow the similarity."""
+    """Pairs of a list's sets that are in different components and whose sizes and places allow the similarity."""
     p, q = sim.numerator, sim.denominator
 
     def of(t: pa.Table) -> pa.Table:
-        key, size, comp = (np.array(t.column(c).to_pylist(), np.int64) for c in ("key", "size", "component"))
+        key, size, reach, comp = (np.array(t.column(c).to_pylist(), np.int64) for c in ("key", "size", "reach", "component"))
         kinds, at, n = np.unique(comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(at != np.argmax(n))
         a_out, b_out = [], []
@@ -215,6 +214,7 @@ def _across(sim: Fraction):
         place[rest] = np.arange(len(rest)) + 1
         for r in rest:
             ok = (comp != comp[r]) & ((place == 0) | (place > place[r])) & (size * q >= size[r] * p) & (size * p <= size[r] * q)
+            ok &= np.minimum(reach, reach[r]) >= need(size, size[r], sim)
             b = key[ok]
             b_out.append(b)
             a_out.append(np.full(len(b), key[r]))
@@ -291,7 +291,7 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
 
     blobs = docs.select(text_col).mapInArrow(_prefixes(k, sim, levels, groups, text_col), BLOB)
     found = blobs.groupBy("grp").applyInArrow(_lists(sim), LISTS)
-    lists = cut(found.dropDuplicates(["list"]))
+    lists = cut(found)  # the same list may come from several groups
     tied = lists.select("pivot", F.explode(F.arrays_zip("keys", "near")).alias("m")).filter("m.near").select("pivot", F.col("m.keys").alias("key"))
     stars = tied.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
     classes = cut(narrow.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts")))
@@ -299,7 +299,8 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     both_ends = F.explode(F.array("a", "b")).alias("key")
     first = cut(verify(stars, sets_of(docs, stars.select(both_ends), classes, k, id_col, text_col), sim))
     near = components(first).withColumnRenamed("node", "key")
-    members = lists.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("list", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
+    each = lists.select("list", F.explode(F.arrays_zip("keys", "sizes", "reach")).alias("m")).select("list", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"), F.col("m.reach").alias("reach"))
+    members = each.groupBy("list", "key").agg(F.max("size").alias("size"), F.max("reach").alias("reach"))
     placed = members.join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
     split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("list")
     more = placed.join(split, "list").groupBy("list").applyInArrow(_across(sim), "a long, b long").distinct()

@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,56 +49,94 @@ PROBES = 7
 _BLANK = "\\s\x85\u180e\u200b\ufeff"
 _CUT = re.compile(f"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
 _ODD = re.compile(f"[{_BLANK}][{_BLANK}]|^[{_BLANK}]|[{_BLANK}]$")
+#: The same for RE2: texts with white space at an end, next to white space, or beyond ASCII.
+_RARE = r"\s\s|^\s|\s$|[\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _ENDS = frozenset(",.!?;:")
 
 
+def _alphabet() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible characters as they are, the others from 256 upwards in order."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """The tokenizers library's ids of texts, with a bounded store of the pieces that it has encoded."""
+    """The tokenizers library's ids of texts, with a bounded store of the pieces that it has encoded.
 
-    def __init__(self, path: str, store: int = 300_000):
-        from tokenizers import Tokenizer
+    With a byte-level pattern tokenizer, texts are encoded in pieces, each distinct one of a batch once; with any other,
+    whole.
+    """
+
+    def __init__(self, path: str, store: int = 500_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        pre = self.tok.pre_tokenizer
+        self.pieces = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None
+        self.model, self.alphabet = self.tok.model, _alphabet()
         self.store, self.spaced, self.bare = store, {}, {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _word(self, word: str, spaced: bool) -> np.ndarray:
+        """Ids of a word of letters, which is one pre-token, straight from the library's model."""
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.model.tokenize("\u0120" + raw if spaced else raw)], self.kind)
+
     def piece(self, p: str, spaced: bool) -> np.ndarray:
         """Ids of p, after a space if spaced. Between a letter and a mark, and around a lone line end, tokens part."""
         held = self.spaced if spaced else self.bare
         got = held.get(p)
-        if got is None:
-            if len(held) > self.store:
-                held.clear()
+        if got is not None:
+            return got
+        if len(held) > self.store:
+            held.clear()
+        if p.isalpha():
+            got = self._word(p, spaced)
+        elif len(p) > 1 and p[-1] in _ENDS and p[:-1].isalpha():
+            got = np.concatenate([self.piece(p[:-1], spaced), self.piece(p[-1], False)])
+        else:
             a, nl, b = p.partition("\n")
             if nl and a and b and not a[-1].isspace() and not b[0].isspace() and not _ODD.search(p):
                 got = np.concatenate([self.piece(a, spaced), self.piece("\n", False), self.piece(b, False)])
-            elif len(p) > 1 and p[-1] in _ENDS and p[:-1].isalpha():
-                got = np.concatenate([self.piece(p[:-1], spaced), self.piece(p[-1], False)])
             else:
                 got = self._ids(" " + p if spaced else p)
-            held[p] = got
+        held[p] = got
         return got
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [[""] if not t else t.split(" ") if not _ODD.search(t) else _CUT.split(t) for t in texts]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        first = np.cumsum(sizes) - sizes
-        coded = pa.array([p for x in lists for p in x], pa.string()).dictionary_encode()
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.pieces:
+            return [np.array(e.ids, self.kind) for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        rare = np.flatnonzero(pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False))
+        if not len(rare):
+            return self._split(pc.split_pattern(texts, " "))
+        lists = pc.split_pattern(texts, " ").to_pylist()
+        for i in rare.tolist():
+            lists[i] = _CUT.split(texts[i].as_py())
+        return self._split(pa.array(lists, pa.list_(pa.string())))
+
+    def _split(self, lists: pa.ListArray) -> list[np.ndarray]:
+        first, values = lists.offsets.to_numpy().astype(np.int64), lists.values
+        coded = values.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        table = [self.piece(p, True) for p in coded.dictionary.to_pylist()]
-        at[first] = len(table) + np.arange(len(lists))
-        table += [self.piece(x[0], False) if x[0] else np.zeros(0, self.kind) for x in lists]
-        lens = np.array([len(x) for x in table], np.int64)
+        get = self.spaced.get
+        words = coded.dictionary.to_pylist()
+        table = [get(p) for p in words]
+        table = [self.piece(p, True) if x is None else x for p, x in zip(words, table, strict=True)]
+        heads = [self.piece(p, False) if p else np.zeros(0, self.kind) for p in values.take(pa.array(first[:-1])).to_pylist()]
+        at[first[:-1]] = len(table) + np.arange(len(heads))
+        table += heads
+        lens = np.fromiter(map(len, table), np.int64, len(table))
         begin, flat = np.cumsum(lens) - lens, np.concatenate(table) if table else np.zeros(0, self.kind)
         n = lens[at]
-        place = np.arange(int(n.sum())) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[place]
-        return [ids[upto[a] : upto[a + s]] for a, s in zip(first, sizes, strict=True)]
+        ids = flat[np.arange(upto[-1]) + np.repeat(begin[at] - upto[:-1], n)]
+        return np.split(ids, upto[first[1:-1]]) if len(heads) else []
 
 
 @lru_cache(maxsize=2)
@@ -211,8 +250,9 @@ def _encode(path: str, end_id: int | None, bounds, id_col: str, text_col: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=3)
         tail = np.array([] if end_id is None else [end_id], enc.kind)
-        for ids, texts in ta.chunks(batches, [id_col, text_col], 2 << 20):
-            got = [pack.compress(np.concatenate([x, tail]).tobytes()) for x in enc.encode([t or "" for t in texts])]
+        for batch in batches:
+            ids = batch.column(id_col).to_pylist()
+            got = [pack.compress(np.concatenate([x, tail]).tobytes()) for x in enc.encode(batch.column(text_col))]
             part = [len(bounds.value) if i is None else int(np.searchsorted(bounds.value, i, "right")) for i in ids]
             yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), "id": pa.array(ids, pa.int64()), "ids": pa.array(got, pa.binary())})
 
