@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -74,38 +75,42 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         pre = self.tok.pre_tokenizer
         self.pieces = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None
         self.model, self.alphabet = self.tok.model, _alphabet()
         self.store, self.spaced, self.bare = store, {}, {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def _word(self, word: str, spaced: bool) -> np.ndarray:
+    def _ids(self, text: str) -> bytes:
+        return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str, spaced: bool) -> bytes:
         """Ids of a word of letters, which is one pre-token, straight from the library's model."""
         raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize("\u0120" + raw if spaced else raw)], self.kind)
+        return self._pack([t.id for t in self.model.tokenize("\u0120" + raw if spaced else raw)])
 
-    def piece(self, p: str, spaced: bool) -> np.ndarray:
+    def piece(self, p: str, spaced: bool) -> bytes:
         """Ids of p, after a space if spaced. Between a letter and a mark, and around a lone line end, tokens part."""
         held = self.spaced if spaced else self.bare
         got = held.get(p)
         if got is not None:
             return got
+        if p.isalpha():
+            if len(held) > self.store:
+                held.clear()
+            got = held[p] = self._word(p, spaced)
+            return got
+        if p[-1:] in _ENDS and p[:-1].isalpha():
+            return self.piece(p[:-1], spaced) + self.piece(p[-1], False)
+        a, nl, b = p.partition("\n")
+        if nl and a and b and not a[-1].isspace() and not b[0].isspace() and not _ODD.search(p):
+            return self.piece(a, spaced) + self.piece("\n", False) + self.piece(b, False)
         if len(held) > self.store:
             held.clear()
-        if p.isalpha():
-            got = self._word(p, spaced)
-        elif len(p) > 1 and p[-1] in _ENDS and p[:-1].isalpha():
-            got = np.concatenate([self.piece(p[:-1], spaced), self.piece(p[-1], False)])
-        else:
-            a, nl, b = p.partition("\n")
-            if nl and a and b and not a[-1].isspace() and not b[0].isspace() and not _ODD.search(p):
-                got = np.concatenate([self.piece(a, spaced), self.piece("\n", False), self.piece(b, False)])
-            else:
-                got = self._ids(" " + p if spaced else p)
-        held[p] = got
+        got = held[p] = self._ids(" " + p if spaced else p)
         return got
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -121,22 +126,21 @@ class Encoder:
         return self._split(pa.array(lists, pa.list_(pa.string())))
 
     def _split(self, lists: pa.ListArray) -> list[np.ndarray]:
-        first, values = lists.offsets.to_numpy().astype(np.int64), lists.values
+        first, values = lists.offsets.to_numpy(), lists.values
         coded = values.dictionary_encode()
         at = coded.indices.to_numpy().astype(np.int64)
-        get = self.spaced.get
-        words = coded.dictionary.to_pylist()
-        table = [get(p) for p in words]
-        table = [self.piece(p, True) if x is None else x for p, x in zip(words, table, strict=True)]
-        heads = [self.piece(p, False) if p else np.zeros(0, self.kind) for p in values.take(pa.array(first[:-1])).to_pylist()]
+        piece = self.piece
+        table = [piece(p, True) for p in coded.dictionary.to_pylist()]
+        heads = [piece(p, False) if p else b"" for p in values.take(pa.array(first[:-1])).to_pylist()]
         at[first[:-1]] = len(table) + np.arange(len(heads))
         table += heads
-        lens = np.fromiter(map(len, table), np.int64, len(table))
-        begin, flat = np.cumsum(lens) - lens, np.concatenate(table) if table else np.zeros(0, self.kind)
-        n = lens[at]
+        lens = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(table), self.kind)
+        begin, n = (np.cumsum(lens) - lens)[at], lens[at]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(upto[-1]) + np.repeat(begin[at] - upto[:-1], n)]
-        return np.split(ids, upto[first[1:-1]]) if len(heads) else []
+        place = np.repeat(begin - upto[:-1], n)
+        place += np.arange(upto[-1])
+        return np.split(flat[place], upto[first[1:-1]]) if len(heads) else []
 
 
 @lru_cache(maxsize=2)
