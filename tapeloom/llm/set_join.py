@@ -206,7 +206,7 @@ def _across(sim: Fraction):
     p, q = sim.numerator, sim.denominator
 
     def of(t: pa.Table) -> pa.Table:
-        key, size, reach, comp = (np.array(t.column(c).to_pylist(), np.int64) for c in ("key", "size", "reach", "component"))
+        key, size, reach, comp, shared = (np.array(t.column(c).to_pylist(), np.int64) for c in ("key", "size", "reach", "component", "shared"))
         kinds, at, n = np.unique(comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(at != np.argmax(n))
         a_out, b_out = [], []
@@ -214,7 +214,11 @@ def _across(sim: Fraction):
         place[rest] = np.arange(len(rest)) + 1
         for r in rest:
             ok = (comp != comp[r]) & ((place == 0) | (place > place[r])) & (size * q >= size[r] * p) & (size * p <= size[r] * q)
-            ok &= np.minimum(reach, reach[r]) >= need(size, size[r], sim)
+            most = np.minimum(reach, reach[r])
+            # Answers derived from the pivot's: two sets share at most what both share with it and what both have beyond it.
+            by_pivot = np.minimum(shared, shared[r]) + np.minimum(size - shared, size[r] - shared[r])
+            most = np.where((shared >= 0) & (shared[r] >= 0), np.minimum(most, by_pivot), most)
+            ok &= most >= need(size, size[r], sim)
             b = key[ok]
             b_out.append(b)
             a_out.append(np.full(len(b), key[r]))
@@ -225,28 +229,67 @@ def _across(sim: Fraction):
     return of
 
 
-def _sets(k: int, text_col: str):
+def fine_parts(s: np.ndarray) -> bytes:
+    """As parts_of, with about as many parts as shingles (a power of two, at least 64): a byte for each, not eight."""
+    n = 1 << max(6, int(len(s) - 1).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(p: bytes, q: bytes) -> int:
+    """What two sets can share at most, by their fine parts; the finer counts are added up to the coarser ones."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (p, q))
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 60
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
+
+
+def _sets(k: int, text_col: str, whole: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in ta.chunks(batches, [text_col]):
             raw = [ta.lower(t) for t in texts]
             h, first = shingles(raw, k)
-            sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-            offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(t) for t in raw], pa.int64()), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sets)))], names=["key", "grams"])
+            sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            keys = pa.array([key_of(t) for t in raw], pa.int64())
+            if whole:
+                offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offs, pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "grams"])
+            else:
+                yield pa.RecordBatch.from_arrays([keys, pa.array([fine_parts(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "parts", "n"])
 
     return of
 
 
-def sets_of(docs: DataFrame, keys: DataFrame, classes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, grams) of the classes in keys, from the text of each one's first document.
+def texts_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The text of the first document of every class in the pairs.
 
     The ids go to the texts where they are few enough to broadcast (their count is known); else both are shuffled.
     """
-    wanted = cut(keys.distinct().join(classes, "key").select(F.col("id").alias("__id")))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = cut(keys.join(classes, "key").select(F.col("id").alias("__id")))
     if wanted.count() * 16 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs[id_col] == wanted["__id"], "left_semi").select(text_col)
-    return cut(texts.mapInArrow(_sets(k, text_col), "key long, grams array<long>"))
+    return docs.join(wanted, docs[id_col] == wanted["__id"], "left_semi").select(text_col)
+
+
+def _may_share(sim: Fraction):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            p, q, m, n = (t.column(c).to_pylist() for c in ("p", "q", "m", "n"))
+            able = [most_shared(*x[:2]) >= need(x[2], x[3], sim) for x in zip(p, q, m, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(able, pa.bool_()))
+
+    return of
+
+
+def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, sim: Fraction, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) with the overlap of their whole sets and whether that links them; without those that the fine
+    part counts rule out, which spares most of the sets that do not link."""
+    small = cut(texts_of(docs, pairs, classes, id_col, text_col).mapInArrow(_sets(k, text_col, False), "key long, parts binary, n long"))
+    x, y = (small.select(F.col("key").alias(c), F.col("n").alias(d), F.col("parts").alias(e)) for c, d, e in (("a", "m", "p"), ("b", "n", "q")))
+    left = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "p", "q").mapInArrow(_may_share(sim), "a long, b long").distinct())
+    sets = cut(texts_of(docs, left, classes, id_col, text_col).mapInArrow(_sets(k, text_col, True), "key long, grams array<long>"))
+    return verify(left, sets, sim)
 
 
 def _may_reach(sim: Fraction):
@@ -270,11 +313,12 @@ def plausible(pairs: DataFrame, classes: DataFrame, sim: Fraction) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, sim: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared whole."""
+    """The pairs (a, b) with the overlap of their whole sets, and whether that links them."""
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return two.filter(sim.denominator * both >= sim.numerator * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+    seen = two.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("overlap"))
+    linked = sim.denominator * F.col("overlap") >= sim.numerator * (F.col("m") + F.col("n") - F.col("overlap"))
+    return seen.select("a", "b", F.col("overlap").cast("long"), linked.alias("linked")).distinct()
 
 
 def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,16 +340,19 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     stars = tied.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
     classes = cut(narrow.filter("n_shingles > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("parts").alias("parts")))
     stars = cut(plausible(stars, classes, sim))
-    both_ends = F.explode(F.array("a", "b")).alias("key")
-    first = cut(verify(stars, sets_of(docs, stars.select(both_ends), classes, k, id_col, text_col), sim))
+    judged = cut(compared(docs, stars, classes, k, sim, id_col, text_col))
+    first = judged.filter("linked").select("a", "b")
     near = components(first).withColumnRenamed("node", "key")
-    each = lists.select("list", F.explode(F.arrays_zip("keys", "sizes", "reach")).alias("m")).select("list", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"), F.col("m.reach").alias("reach"))
-    members = each.groupBy("list", "key").agg(F.max("size").alias("size"), F.max("reach").alias("reach"))
+    each = lists.select("list", "pivot", F.explode(F.arrays_zip("keys", "sizes", "reach")).alias("m")).select("list", "pivot", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"), F.col("m.reach").alias("reach"))
+    members = each.groupBy("list", "key").agg(F.max("size").alias("size"), F.max("reach").alias("reach"), F.min("pivot").alias("pivot"))
+    with_pivot = judged.select(F.col("a").alias("pivot"), F.col("b").alias("key"), "overlap").unionByName(judged.select(F.col("b").alias("pivot"), F.col("a").alias("key"), "overlap"))
     placed = members.join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
     split = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("list")
-    more = placed.join(split, "list").groupBy("list").applyInArrow(_across(sim), "a long, b long").distinct()
+    seen = placed.join(split, "list").join(with_pivot, ["pivot", "key"], "left")
+    shared = F.when(F.col("key") == F.col("pivot"), F.col("size")).otherwise(F.coalesce("overlap", F.lit(-1)))
+    more = seen.select("list", "key", "size", "reach", "component", shared.alias("shared")).groupBy("list").applyInArrow(_across(sim), "a long, b long").distinct()
     more = cut(plausible(more.join(stars, ["a", "b"], "left_anti"), classes, sim))
-    second = verify(more, sets_of(docs, more.select(both_ends), classes, k, id_col, text_col), sim)
+    second = compared(docs, more, classes, k, sim, id_col, text_col).filter("linked").select("a", "b")
 
     # From classes to documents: a class's least id stands for it.
     joined = cut(first.unionByName(second))
