@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, quality_rules, repeats, set_join, sharding, token_tables
+import corpus_pipeline
+
+from . import decontaminate, license_scan, mixing, quality_rules, repeats, set_join, sharding, token_tables, toxicity, warc
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.crc32(c.cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, labels, eligible=~held_out(F.col("id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +35,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.drop_repeats(table(spark, sf_dir, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -46,5 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)}
+    of_tables = (op1_toxicity, op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op5_warc, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)
+    return {f.__name__: f for f in (*of_tables, pipeline)}
