@@ -63,8 +63,11 @@ def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
         )
         return let(F.sort_array(repeated), lambda s: F.aggregate(F.transform(s, lambda x, i: F.least(F.coalesce(F.get(s, i + 1) - x, F.lit(window)), F.lit(window))), F.lit(0), lambda a, x: a + x))
 
-    counted = let(hashed(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
-    return F.when(F.size(words) <= window, 0).otherwise(counted).cast("long")
+    def counted(w: Column) -> Column:
+        return let(hashed(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
+
+    # let: the optimizer may put the words' own expression here, which is to run once a text, not once a window.
+    return let(words, lambda w: F.when(F.size(w) <= window, 0).otherwise(counted(w))).cast("long")
 
 
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
