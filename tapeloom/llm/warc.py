@@ -107,12 +107,15 @@ CAPTURES = "key string, page_id long, path string, offset long, length long"
 
 
 def _archive(folder: str):
-    def of(t: pa.Table) -> pa.Table:
-        rows = sorted(t.select(["page_id", "url", "html", "digest", "refers_to", "refers_url"]).to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["digest"], r["url"] or ""))
+    def of(t: pa.Table, aimed: pa.Table) -> pa.Table:
+        target = {(r["page_id"], r["same"]): (r["refers_to"], r["refers_url"]) for r in aimed.to_pylist()}
+        rows = sorted(t.select(["page_id", "url", "html", "digest", "same"]).to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["digest"], r["url"] or ""))
+        if not rows:
+            return pa.table({"key": pa.array([], pa.string()), "page_id": pa.array([], pa.int64()), "path": pa.array([], pa.string()), "offset": pa.array([], pa.int64()), "length": pa.array([], pa.int64())})
         name, out, offset = f"{folder}/archive-{t.column('archive')[0].as_py():08d}.warc.gz", [], 0
         found = {"key": [], "page_id": [], "path": [], "offset": [], "length": []}
         for r in rows:
-            data = record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["digest"], r["refers_to"], r["refers_url"])
+            data = record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["digest"], *target.get((r["page_id"], r["same"]), (None, None)))
             for n, v in zip(found, (url_key(r["url"]), r["page_id"], name, offset, len(data)), strict=True):
                 found[n].append(v)
             out.append(data)
@@ -167,10 +170,11 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url
     archives = max(spark.sparkContext.defaultParallelism, int(size // archive_bytes) + 1)
 
     # Each page's target by its payload; hot payloads are few rows on the right, and Spark splits their left side.
-    aimed = narrow.join(targets(narrow, revisit_bytes), ["same", "n"]).filter("page_id <> refers_to").select(F.col("page_id").alias("__id"), F.col("same").alias("__same"), "refers_to", "refers_url").distinct()
-    dealt = pages.withColumn("archive", F.pmod(F.xxhash64("page_id", "same"), F.lit(archives)))
-    marked = dealt.join(aimed, (dealt["page_id"] == aimed["__id"]) & (dealt["same"] == aimed["__same"]), "left").select("archive", "page_id", "url", "html", "digest", "refers_to", "refers_url")
-    captures = cut(marked.groupBy("archive").applyInArrow(_archive(folder), CAPTURES))
+    aimed = narrow.join(targets(narrow, revisit_bytes), ["same", "n"]).filter("page_id <> refers_to").select("page_id", "same", "refers_to", "refers_url").distinct()
+    archive = F.pmod(F.xxhash64("page_id", "same"), F.lit(archives))
+    dealt = pages.select("page_id", "url", "html", "digest", "same", archive.alias("archive"))
+    # One shuffle of the pages: what refers to what is dealt by the same rule, and meets them at the archive.
+    captures = cut(dealt.groupBy("archive").cogroup(aimed.withColumn("archive", archive).groupBy("archive")).applyInArrow(_archive(folder), CAPTURES))
     total = captures.count()
     ranges = max(1, total // (50 * block_lines))
     ranged = captures.repartitionByRange(ranges, "key", "page_id").withColumn("range", F.spark_partition_id())
