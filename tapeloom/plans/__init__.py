@@ -1,0 +1,12 @@
+"""The library's queries."""
+
+from . import market  # noqa: F401
+from .base import ORACLE, QUERIES
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(ORACLE)
