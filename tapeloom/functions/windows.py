@@ -28,6 +28,15 @@ def roll_mean(c: Column, n: int, least: int | None = None) -> Column:
     return _enough(c, F.avg(c).over(last_bars(n)), n, least)
 
 
+def units(c: Column) -> Column:
+    """A price in ten-thousandths: sums of these do not depend on the order of addition."""
+    return F.round(c * 10_000).cast("long")
+
+
+def roll_price_mean(c: Column, n: int, least: int | None = None) -> Column:
+    return _enough(c, F.sum(units(c)).over(last_bars(n)) / (F.count(c).over(last_bars(n)) * F.lit(10_000.0)), n, least)
+
+
 def roll_max(c: Column, n: int, least: int | None = None) -> Column:
     return _enough(c, F.max(c).over(last_bars(n)), n, least)
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.config import Gap, Stage, Technical
-from tapeloom.functions.windows import back, by_symbol, last_bars, percentile, roll_max, roll_mean, roll_min
+from tapeloom.functions.windows import back, by_symbol, last_bars, percentile, roll_max, roll_mean, roll_min, roll_price_mean, units
 
 
 
 def with_averages(bars: DataFrame, lengths=(50, 150, 200)) -> DataFrame:
-    return bars.withColumns({f"sma_{n}": roll_mean(F.col("close"), n) for n in lengths})
+    return bars.withColumns({f"sma_{n}": roll_price_mean(F.col("close"), n) for n in lengths})
 
 
 def true_range() -> Column:
@@ -93,7 +93,7 @@ def stages(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
     """
     w = Window.partitionBy("symbol").orderBy("week")
     k, n = s.ma_weeks, s.slope_weeks
-    weeks = weekly(bars).select("symbol", "week", "close").withColumns({"done": F.row_number().over(w) - 1, "rest": F.sum("close").over(w.rowsBetween(-(k - 1), -1)), "then": F.sum("close").over(w.rowsBetween(-(n + k - 1), -n))})
+    weeks = weekly(bars).select("symbol", "week", "close").withColumns({"done": F.row_number().over(w) - 1, "rest": F.sum(units(F.col("close"))).over(w.rowsBetween(-(k - 1), -1)) / F.lit(10_000.0), "then": F.sum(units(F.col("close"))).over(w.rowsBetween(-(n + k - 1), -n)) / F.lit(10_000.0)})
     t = bars.withColumns({"week": week_label(), "lo": F.min("low").over(last_bars(s.base_bars)), "hi": F.max("high").over(last_bars(s.base_bars))}).join(weeks.drop("close"), ["symbol", "week"])
     ma, old, c = (F.col("rest") + F.col("close")) / k, F.col("then") / k, F.col("close")
     slope = ma / old - 1

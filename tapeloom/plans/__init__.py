@@ -1,6 +1,6 @@
 """The library's queries."""
 
-from . import market  # noqa: F401
+from . import market, screen  # noqa: F401
 from .base import ORACLE, QUERIES
 
 

@@ -17,6 +17,8 @@ ROLL = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {n} PRECEDING AND C
 
 def mean_sql(c: str, n: int, least: int | None = None) -> str:
     w = ROLL.format(n=n - 1)
+    if c == "close":
+        return f"CASE WHEN count(close) {w} >= {least or n} THEN sum(round(close*10000)::bigint) {w}/(count(close) {w}*10000.0::double) END"
     return f"CASE WHEN count({c}) {w} >= {least or n} THEN avg({c}) {w} END"
 
 
@@ -25,7 +27,7 @@ ATR_CTE = f"tr AS (SELECT *, greatest(high-low, abs(high-lag(close) {W}), abs(lo
 BENCH_CTE = "bench AS (SELECT date, avg(close) AS bench FROM bars GROUP BY 1)"
 
 
-def r(c, n=4):
+def r(c, n=8):
     return F.round(c, n)
 
 
@@ -39,10 +41,10 @@ def symbol_manifest(spark, sf):
     return src.manifest(bars(spark, sf))
 
 
-@query("SELECT symbol, date, CASE WHEN date >= DATE '1997-01-01' THEN round(close*1.01, 2) ELSE close END AS close FROM bars", on_bars=True)
+@query("SELECT symbol, date, CASE WHEN date >= DATE '1997-01-01' THEN close + 1 ELSE close END AS close FROM bars", on_bars=True)
 def bars_upsert_last_wins(spark, sf):
     b = bars(spark, sf)
-    new = b.filter("date >= DATE'1997-01-01'").withColumn("close", F.round(F.col("close") * 1.01, 2))
+    new = b.filter("date >= DATE'1997-01-01'").withColumn("close", F.col("close") + 1)
     return src.upsert(b, new).select("symbol", "date", "close")
 
 
@@ -62,12 +64,12 @@ def corporate_action_check(spark, sf):
     return src.adjustments(b, b.withColumn("close", F.when(F.col("symbol") < "Brand#3", F.col("close") / 2).otherwise(F.col("close"))))
 
 
-@query(f"SELECT symbol, date, round({mean_sql('close', 50)}, 4) AS sma_50, round({mean_sql('close', 150)}, 4) AS sma_150, round({mean_sql('close', 200)}, 4) AS sma_200 FROM bars", on_bars=True)
+@query(f"SELECT symbol, date, round({mean_sql('close', 50)}, 8) AS sma_50, round({mean_sql('close', 150)}, 8) AS sma_150, round({mean_sql('close', 200)}, 8) AS sma_200 FROM bars", on_bars=True)
 def sma_stack(spark, sf):
     return ind.with_averages(bars(spark, sf)).select("symbol", "date", *[r(F.col(f"sma_{n}")).alias(f"sma_{n}") for n in (50, 150, 200)])
 
 
-@query(f"{ATR_CTE} SELECT symbol, date, round(atr, 4) AS atr FROM atr", on_bars=True)
+@query(f"{ATR_CTE} SELECT symbol, date, round(atr, 8) AS atr FROM atr", on_bars=True)
 def atr14(spark, sf):
     return ind.with_atr(bars(spark, sf)).select("symbol", "date", r(F.col("atr")).alias("atr"))
 
@@ -80,7 +82,7 @@ def range_52w(spark, sf):
     return ind.with_extremes(bars(spark, sf)).select("symbol", "date", "low_52w", "high_52w")
 
 
-@query(f"SELECT symbol, date, round({mean_sql('volume', 50, 10)}, 4) AS avg_vol FROM bars", on_bars=True)
+@query(f"SELECT symbol, date, round({mean_sql('volume', 50, 10)}, 8) AS avg_vol FROM bars", on_bars=True)
 def volume_avg_50(spark, sf):
     return ind.with_volume_average(bars(spark, sf)).select("symbol", "date", r(F.col("avg_vol")).alias("avg_vol"))
 
@@ -104,7 +106,7 @@ def week_end_flags(spark, sf):
     """tops AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars), tail AS (SELECT * FROM tops WHERE n <= 252),
     top AS (SELECT symbol, max(high) AS bh FROM tail GROUP BY 1), tp AS (SELECT t.symbol, bh, max(n) AS n FROM tail t JOIN top USING (symbol) WHERE high = bh GROUP BY 1, 2),
     low AS (SELECT t.symbol, bh, min(low) AS bl, arg_min(close, t.n) AS c FROM tail t JOIN tp ON t.symbol = tp.symbol AND t.n <= tp.n GROUP BY 1, 2)
-    SELECT symbol, bh AS base_high, bl AS base_low, round((bh-bl)/bh*100, 4) AS depth_pct, round((bh-c)/bh*100, 4) AS below_high_pct FROM low""",
+    SELECT symbol, bh AS base_high, bl AS base_low, round((bh-bl)/bh*100, 8) AS depth_pct, round((bh-c)/bh*100, 8) AS below_high_pct FROM low""",
     on_bars=True,
 )
 def base_metrics(spark, sf):
@@ -120,7 +122,7 @@ def extended_flags(spark, sf):
     return ind.extended(bars(spark, sf)).select("symbol", "date", "extended")
 
 
-@query("SELECT symbol, date, round((close/max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)-1)*100, 4) AS drawdown_pct FROM bars", on_bars=True)
+@query("SELECT symbol, date, round((close/max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)-1)*100, 8) AS drawdown_pct FROM bars", on_bars=True)
 def drawdown(spark, sf):
     top = F.max("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return bars(spark, sf).select("symbol", "date", r((F.col("close") / top - 1) * 100).alias("drawdown_pct"))
@@ -130,7 +132,7 @@ RS_CTE = f"""{BENCH_CTE}, j AS (SELECT symbol, date, close, bench FROM bars JOIN
   rs AS (SELECT symbol, date, {', '.join(f"(close/lag(close, {n}) {W})/(bench/lag(bench, {n}) {W}) AS rs_{n}" for n in (63, 126, 252))} FROM j)"""
 
 
-@query(f"{RS_CTE} SELECT symbol, date, round(rs_63, 4) AS rs_63, round(rs_126, 4) AS rs_126, round(rs_252, 4) AS rs_252, round(0.6*rs_126+0.4*rs_252, 4) AS rs_blend, rs_63 > rs_126 AS improving FROM rs", on_bars=True)
+@query(f"{RS_CTE} SELECT symbol, date, round(rs_63, 8) AS rs_63, round(rs_126, 8) AS rs_126, round(rs_252, 8) AS rs_252, round(0.6*rs_126+0.4*rs_252, 8) AS rs_blend, rs_63 > rs_126 AS improving FROM rs", on_bars=True)
 def rs_ratios(spark, sf):
     b = bars(spark, sf)
     return ind.strength(b, src.benchmark(b)).select("symbol", "date", *[r(F.col(c)).alias(c) for c in ("rs_63", "rs_126", "rs_252", "rs_blend")], "improving")
@@ -140,7 +142,7 @@ PCT_SQL = "100.0*(rank() OVER (PARTITION BY {p} ORDER BY {c}) + (count(*) OVER (
 
 
 @query(
-    f"{RS_CTE}, l AS (SELECT symbol, 0.6*rs_126+0.4*rs_252 AS blend, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM rs), v AS (SELECT symbol, round(blend, 6) AS blend, 1 AS g FROM l WHERE n = 1 AND blend IS NOT NULL) SELECT symbol, blend AS rs_blend, round({PCT_SQL.format(p='g', c='blend')}, 4) AS rs_pctile FROM v",
+    f"{RS_CTE}, l AS (SELECT symbol, 0.6*rs_126+0.4*rs_252 AS blend, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM rs), v AS (SELECT symbol, round(blend, 6) AS blend, 1 AS g FROM l WHERE n = 1 AND blend IS NOT NULL) SELECT symbol, blend AS rs_blend, round({PCT_SQL.format(p='g', c='blend')}, 8) AS rs_pctile FROM v",
     on_bars=True,
 )
 def rs_percentile(spark, sf):
@@ -152,7 +154,7 @@ def rs_percentile(spark, sf):
 BREADTH = f"a AS (SELECT date, close, {mean_sql('close', 200)} AS sma FROM bars), br AS (SELECT date, count(*) AS symbols, count_if(close > sma)::bigint AS above, 100.0*count_if(close > sma)/count(*) AS breadth FROM a WHERE sma IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)"
 
 
-@query(f"{BREADTH} SELECT date, symbols, above, round(breadth, 4) AS breadth_pct FROM br", on_bars=True)
+@query(f"{BREADTH} SELECT date, symbols, above, round(breadth, 8) AS breadth_pct FROM br", on_bars=True)
 def breadth_200dma(spark, sf):
     return ind.breadth(bars(spark, sf)).withColumn("breadth_pct", r(F.col("breadth_pct")))
 
@@ -170,7 +172,7 @@ def regime_scale(spark, sf):
     e AS (SELECT *, count(*) OVER (PARTITION BY month) AS n FROM g), f AS (SELECT month, industry, round(rs, 6) AS rs, stocks FROM e WHERE n >= 5)
     SELECT month, industry, rs, stocks, round("""
     + PCT_SQL.format(p="month", c="rs")
-    + ", 4) AS heat FROM f",
+    + ", 8) AS heat FROM f",
     on_bars=True,
 )
 def industry_heat_grid(spark, sf):
@@ -199,13 +201,13 @@ def trend_template_live(spark, sf):
 @query(
     f"""{ATR_CTE}, u AS (SELECT *, lag(close) {W} AS before, row_number() {W} AS n, avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS usual,
     count(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS nu FROM atr)
-    SELECT symbol, date, round((open/before-1)*100, 4) AS gap_pct, round(volume/usual, 4) AS volume_times, round(least(low, close-0.75*atr), 2) AS stop FROM u
+    SELECT symbol, date, round((open/before-1)*100, 8) AS gap_pct, round(volume/usual, 8) AS volume_times, round(least(low, close-0.75*atr), 8) AS stop FROM u
     WHERE n > 60 AND nu >= 10 AND close >= 2 AND (open/before-1)*100 >= 2 AND volume >= 2*usual AND close > open AND close >= before*1.02""",
     on_bars=True,
 )
 def episodic_pivots(spark, sf):
     found = ind.gaps(bars(spark, sf), Gap(gap_pct=2.0, volume_times=2.0, price_min=2.0, value_min=0.0))
-    return found.select("symbol", "date", *[r(F.col(c)).alias(c) for c in ("gap_pct", "volume_times")], r(F.col("stop"), 2).alias("stop"))
+    return found.select("symbol", "date", *[r(F.col(c)).alias(c) for c in ("gap_pct", "volume_times")], r(F.col("stop")).alias("stop"))
 
 
 @query(f"b AS (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS pivot_price, {mean_sql('volume', 50)} AS av FROM bars) SELECT symbol, date, close, pivot_price FROM b WHERE close > pivot_price AND volume >= 1.5*av", on_bars=True)
@@ -216,14 +218,14 @@ def breakout_over_pivot(spark, sf):
 
 
 STAGE = """wk AS (SELECT symbol, date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS week, arg_max(close, date) AS c FROM bars GROUP BY 1, 2),
-  ws AS (SELECT symbol, week, row_number() OVER w AS n, sum(c) OVER (PARTITION BY symbol ORDER BY week ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING) AS rest,
-    sum(c) OVER (PARTITION BY symbol ORDER BY week ROWS BETWEEN 37 PRECEDING AND 8 PRECEDING) AS old FROM wk WINDOW w AS (PARTITION BY symbol ORDER BY week)),
+  ws AS (SELECT symbol, week, row_number() OVER w AS n, sum(round(c*10000)::bigint) OVER (PARTITION BY symbol ORDER BY week ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING)/10000.0::double AS rest,
+    sum(round(c*10000)::bigint) OVER (PARTITION BY symbol ORDER BY week ROWS BETWEEN 37 PRECEDING AND 8 PRECEDING)/10000.0::double AS old FROM wk WINDOW w AS (PARTITION BY symbol ORDER BY week)),
   x AS (SELECT symbol, date, close, date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS week, min(low) OVER y AS lo, max(high) OVER y AS hi FROM bars WINDOW y AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
   z AS (SELECT symbol, date, close, (rest+close)/30 AS ma, ((rest+close)/30)/(old/30)-1 AS slope, CASE WHEN hi > lo THEN (close-lo)/(hi-lo) ELSE 0.5 END AS place FROM x JOIN ws USING (symbol, week) WHERE n >= 45),
   stage AS (SELECT *, CASE WHEN close > ma AND slope > 0.015 THEN 2 WHEN close < ma AND slope < -0.015 THEN 4 WHEN place < 0.5 THEN 1 ELSE 3 END AS stage FROM z)"""
 
 
-@query(STAGE + " SELECT symbol, date, round(ma, 4) AS ma, round(slope, 4) AS slope, stage FROM stage", on_bars=True)
+@query(STAGE + " SELECT symbol, date, round(ma, 8) AS ma, round(slope, 8) AS slope, stage FROM stage", on_bars=True)
 def stage_classification(spark, sf):
     return ind.stages(bars(spark, sf)).select("symbol", "date", r(F.col("ma")).alias("ma"), r(F.col("slope")).alias("slope"), "stage")
 
