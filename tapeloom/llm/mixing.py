@@ -90,17 +90,26 @@ def solve(classes: DataFrame, goals: DataFrame, most: float = MOST, steps: int =
     return state.select("key", "dual")
 
 
-def copies(classes: DataFrame, goals: DataFrame, duals: DataFrame, most: int = MOST, settle: int = 4) -> DataFrame:
+def copies(classes: DataFrame, goals: DataFrame, duals: DataFrame, most: int = MOST, settle: int = 3) -> DataFrame:
     """(key, size, n, copies): how many copies the n documents of a (source, size) have together, 0 to most * n.
 
-    Along a source's sizes the running sum of rates is rounded, so that errors of neighbours cancel. Then, up to
-    `settle` times, one class of a source gives or takes one copy where that brings its words nearer to the target.
+    Along a source's sizes the running sum of rates is rounded, so that errors of neighbours cancel. Then, `settle`
+    times, what still lacks or exceeds is given to or taken from classes from the largest size that fits downwards;
+    and as often, one copy of the class that brings the words nearest to the target, be it past it.
     """
     run = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("key").orderBy("size"))
     rated = classes.join(duals.join(goals, "key"), "key").withColumn("rate", rate_of(F.col("dual"), most)).withColumn("run", F.floor(run + 0.5))
     last = F.coalesce(F.lag("run").over(Window.partitionBy("key").orderBy("size")), F.lit(0))
     made = F.greatest(F.lit(0), F.least(F.col("run") - last, F.col("n") * most)).cast("long")
     out = cut(rated.withColumn("copies", made).select("key", "size", "n", "target", "copies"))
+    for _ in range(settle):
+        gaps = out.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+        near = out.join(gaps, "key").withColumn("room", F.when(F.col("gap") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies")))
+        near = near.withColumn("fits", (F.col("size") > 0) & (F.col("size") <= F.abs("gap")))
+        filled = F.when(F.col("fits"), F.col("room") * F.col("size")).otherwise(0)
+        before = F.coalesce(F.sum(filled).over(Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        step = F.when(F.col("fits"), F.greatest(F.lit(0), F.least(F.col("room"), F.floor((F.abs("gap") - before) / F.greatest("size", F.lit(1)))))).otherwise(0)
+        out = cut(near.withColumn("copies", (F.col("copies") + F.signum("gap") * step).cast("long")).select("key", "size", "n", "target", "copies"))
     for _ in range(settle):
         gaps = out.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         near = out.join(gaps, "key").withColumn("step", F.signum("gap")).filter("size > 0 and step != 0")
