@@ -1,6 +1,6 @@
 """The library's queries."""
 
-from . import market, screen, texts  # noqa: F401
+from . import market, portfolio, screen, texts  # noqa: F401
 from .base import ORACLE, QUERIES
 
 
