@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapeloom.llm import decontaminate, mixing, quality_rules, set_join, sharding
-from tapeloom.llm.common import new_folder, table
+from tapeloom.llm.common import WORD, new_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, one or two rows each."""
-    taken = mixing.mix(docs).filter("n_copies > 0").select("doc_id", "n_copies")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them: none, one or two rows each. Rows of one id are told apart by size."""
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), "size", "n_copies").withColumn("__turn", F.row_number().over(Window.partitionBy("__id").orderBy("size", "n_copies")))
+    rows = docs.withColumn("size", words).withColumn("__n", turn)
+    same = rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["__n"] == taken["__turn"])
+    joined = rows.join(taken.drop("size").filter("n_copies > 0"), same)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import text_arrays as ta
 from .common import cut, small_arrow_batches
@@ -364,7 +365,13 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df of which one document stays for each component: that with the least id. Rows without text or id stay."""
+    """The rows of df of which one document stays for each component: that with the least id, once.
+
+    Rows without text or id stay.
+    """
     linked = link(df, k, percent, id_col, text_col)
     keep = linked.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    kept = df.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(*df.columns)
+    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)  # the join's partitioning serves it
+    once = kept.withColumn("__again", F.row_number().over(again)).filter("__again = 1").select(*df.columns)
+    return once.unionByName(df.filter(F.col(id_col).isNull()))

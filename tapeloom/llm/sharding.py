@@ -71,7 +71,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
 
     slot counts the rows of a shard from 0. group_rows and group_shards: documents with the text, and shards they lie in.
     """
-    docs = cut(narrow(df, id_col, text_col).withColumn("part", spread_of(F.col(id_col), buckets=buckets)))
+    docs = cut(narrow(df, id_col, text_col).withColumn("part", spread_of(F.col(id_col), F.col("text_crc32"), buckets=buckets)))
     caps = quotas(docs.count(), shards)
 
     # Sizes of groups without their rows in one task: counts by (key, part) first.

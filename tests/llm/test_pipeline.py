@@ -45,3 +45,14 @@ def test_stages(spark, tmp_path):
     assert Counter(r[0] for r in shards.select("doc_id").collect()) == copies
     n = Counter(r[0] for r in shards.select("shard").collect())
     assert max(n.values()) - min(n.values()) <= 1
+
+
+def test_rows_that_repeat(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text + " more", "en", "a", 1), (None, text + " other end", "en", None, 1), (3, "quite another text with enough words to be kept by all rules", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    single = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(map(str, (r["doc_id"] for r in single.collect()))) == ["1", "3", "None"]
+    mixed = corpus_pipeline.mixture(spark, docs, "")
+    n = Counter(r["doc_id"] for r in mixed.collect())
+    assert mixed.columns == docs.columns and n[1] <= 4 and all(n[i] <= 2 for i in (2, 3, None))
