@@ -1,6 +1,6 @@
 """The library's queries."""
 
-from . import market, portfolio, screen, streams, texts  # noqa: F401
+from . import market, more, portfolio, screen, streams, texts  # noqa: F401
 from .base import ORACLE, QUERIES
 
 
