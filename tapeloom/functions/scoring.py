@@ -17,17 +17,16 @@ def ramp(x: Column, least: float) -> Column:
 
 
 def growth(sales: Column, profit: Column, least: float = 15.0) -> Column:
-    return (ramp(sales, least) + ramp(profit, least)) / 2
+    return 0.4 * ramp(sales, least) + 0.6 * ramp(profit, least)
 
 
 def quality(roce: Column, roe: Column, least: float = 15.0) -> Column:
-    return (ramp(roce, least) + ramp(roe, least)) / 2
+    return 0.6 * ramp(roce, least) + 0.4 * ramp(roe, least)
 
 
-def balance(debt_to_equity: Column, pledge: Column, trend: Column, de_max: float = 0.5, pledge_max: float = 5.0) -> Column:
-    debt = clip01(1 - debt_to_equity / (2 * de_max))
-    pledged = clip01(1 - F.greatest(F.coalesce(pledge, F.lit(0.0)) - pledge_max, F.lit(0.0)) * 3 / 100)
-    return (debt + pledged + F.coalesce(clip01(trend), F.lit(0.5))) / 3
+def balance(debt_to_equity: Column, pledge: Column, holding: Column, change: Column, de_max: float = 0.5, pledge_max: float = 5.0, holding_min: float = 30.0) -> Column:
+    moved = F.coalesce(clip01(0.5 + change / 10.0), F.lit(0.5))
+    return 0.35 * clip01(1 - debt_to_equity / (2 * de_max)) + 0.30 * clip01(1 - pledge / (3 * pledge_max)) + 0.20 * clip01(holding / (1.5 * holding_min)) + 0.15 * moved
 
 
 def valuation(peg: Column, most: float = 1.5) -> Column:
@@ -36,46 +35,70 @@ def valuation(peg: Column, most: float = 1.5) -> Column:
 
 def fundamental(parts: dict[str, Column], weights: dict[str, float] = cfg.FUNDAMENTAL) -> Column:
     """Weighted sum; a missing niche counts as half."""
-    return reduce(lambda a, b: a + b, [weights[k] * (F.coalesce(v, F.lit(0.5)) if k == "niche" else v) for k, v in parts.items()])
+    return reduce(lambda a, b: a + b, [weights[k] * (F.coalesce(clip01(v), F.lit(0.5)) if k == "niche" else v) for k, v in parts.items()])
 
 
-def earnings(latest: Column, year_ago: Column, margin_up: Column) -> Column:
-    """Quarterly profit against a year ago: a turn to profit counts fully if the margin confirms it."""
-    grown = F.least(F.greatest(latest / F.nullif(year_ago, F.lit(0.0)) - 1, F.lit(-1.0)), F.lit(2.0))
-    turned = F.when(margin_up, 1.0).otherwise(0.4)
-    losses = F.when(latest > year_ago, 0.3).otherwise(0.0)
-    at_zero = F.when(latest > 0, 0.75).otherwise(0.25)
-    score = F.when(year_ago == 0, at_zero).when((year_ago < 0) & (latest >= 0), turned).when((year_ago < 0) & (latest < 0), losses).otherwise(clip01(0.5 + grown / 2))
-    return F.when(latest.isNotNull() & year_ago.isNotNull(), score)
+def quarter(latest: Column, ago: Column, confirmed: Column) -> Column:
+    """A quarter's profit against a year ago: a turn to profit counts fully if margins confirm it."""
+    grown = F.least(F.greatest((latest - ago) / F.nullif(F.abs(ago), F.lit(0.0)), F.lit(-1.0)), F.lit(2.0))
+    turned, lost, flat = F.when(confirmed, 1.0).otherwise(0.4), F.when(latest > ago, 0.3).otherwise(0.0), F.when(latest > 0, 0.75).otherwise(0.25)
+    score = F.when((ago < 0) & (latest >= 0), turned).when((ago <= 0) & (latest < 0), lost).when(ago == 0, flat).otherwise(clip01(0.5 + grown / 2))
+    return F.when(latest.isNotNull() & ago.isNotNull(), score)
 
 
-def strength(debt: Column, debt_before: Column, debt_to_equity: Column, cash_flow: Column, financial: Column) -> Column:
-    trend = F.when(debt_before > 0, clip01(0.5 + (debt_before - debt) / debt_before / 2)).otherwise(F.when(debt > 0, 0.3).otherwise(1.0))
-    return F.when(financial, 0.5).otherwise(0.4 * trend + 0.4 * clip01(1 - debt_to_equity / 1.5) + 0.2 * F.when(cash_flow > 0, 1.0).otherwise(0.0))
+def earnings(latest: Column, ago: Column, margin: Column, margin_ago: Column, short: Column, long: Column) -> Column:
+    """Quarterly momentum, acceleration (growth of a year against that of three) and level of growth in per cent."""
+    known = short.isNotNull() & long.isNotNull()
+    faster = F.when((short > long) & (long > 0), 1.0).when(short > long, 0.7).otherwise(0.3)
+    pace, level = F.when(known, faster).otherwise(0.5), F.when(known, clip01(short / 30.0)).otherwise(0.5)
+    return 0.45 * quarter(latest, ago, F.coalesce(margin > margin_ago, F.lit(False))) + 0.30 * pace + 0.25 * level
 
 
-def valuation_sanity(pe: Column, peg: Column, inflecting: Column) -> Column:
-    by_pe = F.when(pe > 90, F.when(inflecting, 0.4).otherwise(0.1)).when(pe > 60, F.when(inflecting, 0.6).otherwise(0.4))
-    by_peg = F.when(peg <= 0, 0.4).when(peg <= 1, 1.0).when(peg <= 2, 0.7).otherwise(0.4)
-    return F.when(pe.isNotNull(), F.coalesce(by_pe, by_peg, F.lit(0.5)))
+def strength(debt: Column, debt_ago: Column, debt_to_equity: Column, cash_flow: Column, capital: Column, capital_ago: Column, financial: Column) -> Column:
+    change = (debt - debt_ago) / F.when(debt_ago > 0, debt_ago)
+    trend = F.when(change < -0.2, 1.0).when(change > 0.5, 0.15).otherwise(0.5)
+    level = F.coalesce(clip01(1 - debt_to_equity / 1.5), F.lit(0.5))
+    cash = F.when(cash_flow > 0, 0.8).when(cash_flow <= 0, 0.1).otherwise(0.5)
+    diluted = F.coalesce(capital / F.when(capital_ago > 0, capital_ago) > 1.25, F.lit(False))
+    extras = F.when(diluted, F.greatest(cash - 0.3, F.lit(0.0))).otherwise(cash)
+    return F.when(financial, 0.5).when(debt.isNotNull() | debt_to_equity.isNotNull(), 0.4 * trend + 0.4 * level + 0.2 * extras)
 
 
-def governance(pledge: Column, promoter: Column, promoter_before: Column) -> Column:
-    p = F.coalesce(pledge, F.lit(0.0))
-    start = F.when(p <= 0, 1.0).when(p <= 5, 0.7).when(p <= 10, 0.4).otherwise(0.1)
-    move = promoter - promoter_before
-    return F.when(promoter.isNotNull(), clip01(start + F.when(move > 0.5, 0.1).when(move < -2, -0.3).otherwise(0.0)))
+def valuation_sanity(pe: Column, growth_3y: Column, growth_ttm: Column, latest: Column, ago: Column) -> Column:
+    """Marks froth down; a price on earnings that have just recovered tells nothing yet."""
+    recovering = F.coalesce((ago <= 0) & (latest > 0), F.lit(False)) | F.coalesce(growth_ttm > 150, F.lit(False))
+    peg = pe / F.when(growth_3y > 0, growth_3y)
+    priced = F.when(peg < 1, 0.95).when(peg < 2, 0.7).when(peg.isNotNull(), 0.45).otherwise(0.55)
+    return F.when(pe.isNull(), 0.35).when(pe > cfg.VETO_PE, F.when(recovering, 0.5).otherwise(0.05)).when(pe > 60, F.when(recovering, 0.5).otherwise(0.25)).otherwise(priced)
 
 
-def smart_money(fii_change: Column, dii_change: Column) -> Column:
-    return F.when(fii_change.isNotNull() | dii_change.isNotNull(), clip01(0.5 + (F.coalesce(fii_change, F.lit(0.0)) + F.coalesce(dii_change, F.lit(0.0))) / 6))
+def governance(pledge: Column, promoter: Column, promoter_ago: Column) -> Column:
+    start = F.when(pledge.isNull() | (pledge == 0), 0.85).when(pledge <= 5, 0.5).when(pledge <= cfg.VETO_PLEDGE, 0.25).otherwise(0.05)
+    drop = promoter_ago - promoter
+    return F.when(drop > 2, F.greatest(start - 0.3, F.lit(0.0))).when(drop < -1, F.least(start + 0.1, F.lit(1.0))).otherwise(start)
 
 
-def vetoes(pledge: Column, debt_to_equity: Column, pe: Column, promoter_change: Column) -> Column:
-    flags = F.array(F.when(pledge > cfg.VETO_PLEDGE, "pledge"), F.when((debt_to_equity > cfg.VETO_DEBT) & (pe > cfg.VETO_PE), "debt and price"), F.when(promoter_change < -2, "promoter exit"))
+def smart_money(fii: Column, fii_ago: Column, dii: Column, dii_ago: Column) -> Column:
+    change = F.coalesce(fii - fii_ago, F.lit(0.0)) + F.coalesce(dii - dii_ago, F.lit(0.0))
+    return F.when(fii.isNotNull() | dii.isNotNull(), clip01(0.5 + change / 6.0))
+
+
+def vetoes(pledge: Column, debt_to_equity: Column, pe: Column) -> Column:
+    flags = F.array(F.when(pledge > cfg.VETO_PLEDGE, "promoter_pledge"), F.when((debt_to_equity > cfg.VETO_DEBT) & (pe > cfg.VETO_PE), "leverage_plus_froth"))
     return F.filter(flags, lambda x: x.isNotNull())
 
 
+def archetypes(latest: Column, ago: Column, margin: Column, margin_ago: Column, debt: Column, debt_ago: Column, financial: Column, roce: Column, debt_to_equity: Column, profit_3y: Column, sales_ttm: Column, sales_3y: Column) -> Column:
+    swing = (ago < 0) & (latest >= 0) & (margin > margin_ago)
+    paid = ~financial & ((debt - debt_ago) / F.when(debt_ago > 0, debt_ago) < -0.3)
+    kinds = F.array(
+        F.when(F.coalesce(swing, F.lit(False)) | F.coalesce(paid, F.lit(False)), "Turnaround"),
+        F.when((roce >= 20) & (debt_to_equity.isNull() | (debt_to_equity <= 0.3)) & (profit_3y >= 15), "Quality"),
+        F.when((sales_ttm >= 30) & (sales_3y >= 25), "Hyper-growth"),
+    )
+    return F.filter(kinds, lambda x: x.isNotNull())
+
+
 def assess(dimensions: dict[str, Column], vetoed: Column, weights: dict[str, int] = cfg.CONVICTION) -> Column:
     """struct(score, coverage, label): the weighted mean of the live dimensions; vetoed scores stay low."""
     unknown = set(dimensions) - set(weights)

@@ -158,11 +158,11 @@ def json_fields(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"), F.count_if(D("props").isNull()).alias("without"))
 
 
-@query(f"{FIG_SQL} SELECT id, CASE WHEN sales < 20 THEN false ELSE profit > 0 END AS enters, CASE WHEN trend IS NULL THEN true ELSE NOT (trend < 0.3) END AS heat_open FROM f")
+@query(f"{FIG_SQL} SELECT id, CASE WHEN sales < 20 THEN false ELSE profit > 0 END AS enters, CASE WHEN moved IS NULL THEN true ELSE NOT (moved < 1) END AS heat_open FROM f")
 def entry_gates(spark, sf):
     """A gate that a missing score passes: only a score below it closes it."""
     f = figures(spark, sf)
-    return f.select("id", (~F.coalesce(D("sales") < 20, F.lit(False)) & (D("profit") > 0)).alias("enters"), (~F.coalesce(D("trend") < 0.3, F.lit(False))).alias("heat_open"))
+    return f.select("id", (~F.coalesce(D("sales") < 20, F.lit(False)) & (D("profit") > 0)).alias("enters"), (~F.coalesce(D("moved") < 1, F.lit(False))).alias("heat_open"))
 
 
 @query(f"c AS (SELECT symbol, date, volume/nullif({mean_sql('volume', 50)}, 0) AS s FROM bars), n AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC, symbol) AS place FROM c WHERE s IS NOT NULL) SELECT date, symbol, place FROM n WHERE place <= 3", on_bars=True)
@@ -214,9 +214,3 @@ def capture_labels(spark, sf):
     left, seen = (D("peak") - D("px")) / F.nullif(D("peak") - D("a"), F.lit(0.0)), D("seen").isNotNull()
     label = F.when(seen & (left >= 0.5), "CAUGHT EARLY").when(seen & (left >= 0.15), "CAUGHT").when(seen, "LATE").when(D("ext") > 0, "EXTENDED").when(D("ant") > 0, "ANTICIPATION").otherwise("MISSED")
     return z.select("symbol", "seen", label.alias("label"))
-
-
-@query(f"{FIG_SQL} SELECT id, concat_ws(',', CASE WHEN np_ago < 0 AND np > 0 THEN 'Turnaround' END, CASE WHEN roce >= 20 AND de < 0.5 THEN 'Quality' END, CASE WHEN sales >= 25 AND profit >= 25 THEN 'Hyper-growth' END) AS archetypes, CASE WHEN id % 10 < 3 THEN 'High' WHEN id % 10 < 7 THEN 'Medium' ELSE 'Low' END AS band FROM f")
-def archetypes(spark, sf):
-    tagsof = F.concat_ws(",", F.when((D("np_ago") < 0) & (D("np") > 0), "Turnaround"), F.when((D("roce") >= 20) & (D("de") < 0.5), "Quality"), F.when((D("sales") >= 25) & (D("profit") >= 25), "Hyper-growth"))
-    return figures(spark, sf).select("id", tagsof.alias("archetypes"), F.when(D("id") % 10 < 3, "High").when(D("id") % 10 < 7, "Medium").otherwise("Low").alias("band"))

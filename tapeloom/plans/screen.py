@@ -68,21 +68,21 @@ def cap_tiers(spark, sf):
 # --- scoring: deterministic figures of a part stand for fundamentals ------------------------------------------------
 
 FIG_SQL = """WITH f AS (SELECT p_partkey AS id, (p_partkey*7 % 61 - 15)::double AS sales, (p_partkey*11 % 71 - 20)::double AS profit, (p_partkey*13 % 45)::double AS roce, (p_partkey*17 % 41)::double AS roe,
- (p_partkey % 30)/10.0::double AS de, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE (p_partkey*3 % 25)::double END AS pledge, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 11)/10.0::double END AS trend, (p_partkey*19 % 50 - 5)/10.0::double AS peg,
- CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey*23 % 120)::double END AS pe, (p_partkey*29 % 21 - 6)::double AS np, (p_partkey*31 % 19 - 6)::double AS np_ago, p_partkey % 2 = 0 AS margin_up, (p_partkey*5 % 90)::double AS debt, (p_partkey*37 % 80)::double AS debt_ago,
- (p_partkey*41 % 31 - 10)::double AS cfo, p_partkey % 13 = 0 AS financial, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 40 + (p_partkey % 35)::double END AS promoter, 40 + (p_partkey*3 % 35)::double AS promoter_ago,
- CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_partkey % 15 - 7)::double END AS fii, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (p_partkey*2 % 13 - 6)::double END AS dii FROM part)"""
+ CASE WHEN p_partkey % 10 = 3 THEN NULL ELSE (p_partkey % 30)/10.0::double END AS de, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE (p_partkey*3 % 25)::double END AS pledge, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 11 - 5)::double END AS moved, (p_partkey*19 % 50 - 5)/10.0::double AS peg,
+ CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey*23 % 120)::double END AS pe, CASE WHEN p_partkey % 16 = 5 THEN NULL ELSE (p_partkey*29 % 21 - 6)::double END AS np, (p_partkey*31 % 19 - 6)::double AS np_ago, (p_partkey*7 % 23)::double AS opm, (p_partkey*5 % 23)::double AS opm_ago,
+ CASE WHEN p_partkey % 8 = 1 THEN NULL ELSE (p_partkey*43 % 210 - 30)::double END AS g_ttm, CASE WHEN p_partkey % 12 = 2 THEN NULL ELSE (p_partkey*47 % 60 - 15)::double END AS g_3y, CASE WHEN p_partkey % 14 = 3 THEN NULL ELSE (p_partkey*5 % 90)::double END AS debt, (p_partkey*37 % 80)::double AS debt_ago,
+ CASE WHEN p_partkey % 18 = 7 THEN NULL ELSE (p_partkey*41 % 31 - 10)::double END AS cfo, (p_partkey % 17 + 5)::double AS cap, (p_partkey*3 % 19)::double AS cap_ago, p_partkey % 13 = 0 AS financial, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE (40 + p_partkey % 35)::double END AS promoter, (40 + p_partkey*3 % 35)::double AS promoter_ago,
+ CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE (p_partkey % 15)::double END AS fii, (p_partkey*3 % 14)::double AS fii_ago, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (p_partkey*2 % 13)::double END AS dii, (p_partkey*5 % 12)::double AS dii_ago FROM part)"""
 
 
 def figures(spark, sf):
     k = D("p_partkey")
     d = lambda c: c.cast("double")
-    null_if = lambda m, c: F.when(k % m != 0, c)
+    but = lambda m, rest, c: F.when(k % m != rest, c)
     return table(spark, sf, "part").select(
-        k.alias("id"), d(k * 7 % 61 - 15).alias("sales"), d(k * 11 % 71 - 20).alias("profit"), d(k * 13 % 45).alias("roce"), d(k * 17 % 41).alias("roe"), (k % 30 / 10.0).alias("de"),
-        null_if(9, d(k * 3 % 25)).alias("pledge"), null_if(5, k % 11 / 10.0).alias("trend"), ((k * 19 % 50 - 5) / 10.0).alias("peg"), null_if(7, d(k * 23 % 120)).alias("pe"), d(k * 29 % 21 - 6).alias("np"), d(k * 31 % 19 - 6).alias("np_ago"),
-        (k % 2 == 0).alias("margin_up"), d(k * 5 % 90).alias("debt"), d(k * 37 % 80).alias("debt_ago"), d(k * 41 % 31 - 10).alias("cfo"), (k % 13 == 0).alias("financial"), null_if(6, 40 + d(k % 35)).alias("promoter"), (40 + d(k * 3 % 35)).alias("promoter_ago"),
-        null_if(4, d(k % 15 - 7)).alias("fii"), null_if(3, d(k * 2 % 13 - 6)).alias("dii"),
+        k.alias("id"), d(k * 7 % 61 - 15).alias("sales"), d(k * 11 % 71 - 20).alias("profit"), d(k * 13 % 45).alias("roce"), d(k * 17 % 41).alias("roe"), but(10, 3, k % 30 / 10.0).alias("de"), but(9, 0, d(k * 3 % 25)).alias("pledge"), but(5, 0, d(k % 11 - 5)).alias("moved"), ((k * 19 % 50 - 5) / 10.0).alias("peg"),
+        but(7, 0, d(k * 23 % 120)).alias("pe"), but(16, 5, d(k * 29 % 21 - 6)).alias("np"), d(k * 31 % 19 - 6).alias("np_ago"), d(k * 7 % 23).alias("opm"), d(k * 5 % 23).alias("opm_ago"), but(8, 1, d(k * 43 % 210 - 30)).alias("g_ttm"), but(12, 2, d(k * 47 % 60 - 15)).alias("g_3y"), but(14, 3, d(k * 5 % 90)).alias("debt"), d(k * 37 % 80).alias("debt_ago"),
+        but(18, 7, d(k * 41 % 31 - 10)).alias("cfo"), d(k % 17 + 5).alias("cap"), d(k * 3 % 19).alias("cap_ago"), (k % 13 == 0).alias("financial"), but(6, 0, d(40 + k % 35)).alias("promoter"), d(40 + k * 3 % 35).alias("promoter_ago"), but(4, 0, d(k % 15)).alias("fii"), d(k * 3 % 14).alias("fii_ago"), but(3, 0, d(k * 2 % 13)).alias("dii"), d(k * 5 % 12).alias("dii_ago"),
     )
 
 
@@ -90,25 +90,28 @@ def c01(x: str) -> str:
     return f"(CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, 0.0), 1.0) END)::double"
 
 
-GROWTH = f"({c01('sales/30')}+{c01('profit/30')})/2"
-QUALITY = f"({c01('roce/30')}+{c01('roe/30')})/2"
-BALANCE = f"({c01('1-de')}+{c01('1-greatest(coalesce(pledge,0)-5,0)*3/100')}+coalesce({c01('trend')},0.5))/3"
+GROWTH = f"(0.4*{c01('sales/30')}+0.6*{c01('profit/30')})"
+QUALITY = f"(0.6*{c01('roce/30')}+0.4*{c01('roe/30')})"
+BALANCE = f"(0.35*{c01('1-de')}+0.30*{c01('1-pledge/15')}+0.20*{c01('promoter/45')}+0.15*coalesce({c01('0.5+moved/10')}, 0.5))"
 VALUE = f"CASE WHEN peg <= 0 THEN 0.3 ELSE {c01('1-peg/3')} END"
-EARN = f"""CASE WHEN np_ago = 0 THEN CASE WHEN np > 0 THEN 0.75 ELSE 0.25 END WHEN np_ago < 0 AND np >= 0 THEN CASE WHEN margin_up THEN 1.0 ELSE 0.4 END WHEN np_ago < 0 AND np < 0 THEN CASE WHEN np > np_ago THEN 0.3 ELSE 0.0 END
- ELSE {c01('0.5+least(greatest(np/nullif(np_ago,0)-1,-1.0),2.0)/2')} END::double"""
-STRONG = f"CASE WHEN financial THEN 0.5 ELSE 0.4*(CASE WHEN debt_ago > 0 THEN {c01('0.5+(debt_ago-debt)/debt_ago/2')} WHEN debt > 0 THEN 0.3 ELSE 1.0 END)+0.4*{c01('1-de/1.5')}+0.2*(CASE WHEN cfo > 0 THEN 1.0 ELSE 0.0 END) END::double"
-SANE = "CASE WHEN pe IS NULL THEN NULL WHEN pe > 90 THEN CASE WHEN np > np_ago THEN 0.4 ELSE 0.1 END WHEN pe > 60 THEN CASE WHEN np > np_ago THEN 0.6 ELSE 0.4 END WHEN peg <= 0 THEN 0.4 WHEN peg <= 1 THEN 1.0 WHEN peg <= 2 THEN 0.7 ELSE 0.4 END::double"
-GOV = "CASE WHEN promoter IS NOT NULL THEN least(greatest((CASE WHEN coalesce(pledge,0) <= 0 THEN 1.0 WHEN pledge <= 5 THEN 0.7 WHEN pledge <= 10 THEN 0.4 ELSE 0.1 END)+(CASE WHEN promoter-promoter_ago > 0.5 THEN 0.1 WHEN promoter-promoter_ago < -2 THEN -0.3 ELSE 0.0 END), 0.0), 1.0) END::double"
-SMART = f"CASE WHEN fii IS NOT NULL OR dii IS NOT NULL THEN {c01('0.5+(coalesce(fii,0)+coalesce(dii,0))/6')} END::double"
+QTR = f"CASE WHEN np IS NULL OR np_ago IS NULL THEN NULL WHEN np_ago < 0 AND np >= 0 THEN CASE WHEN opm > opm_ago THEN 1.0 ELSE 0.4 END WHEN np_ago <= 0 AND np < 0 THEN CASE WHEN np > np_ago THEN 0.3 ELSE 0.0 END WHEN np_ago = 0 THEN CASE WHEN np > 0 THEN 0.75 ELSE 0.25 END ELSE {c01('0.5+least(greatest((np-np_ago)/nullif(abs(np_ago),0),-1.0),2.0)/2')} END"
+EARN = f"(0.45*({QTR})+0.30*(CASE WHEN g_ttm IS NULL OR g_3y IS NULL THEN 0.5 WHEN g_ttm > g_3y AND g_3y > 0 THEN 1.0 WHEN g_ttm > g_3y THEN 0.7 ELSE 0.3 END)+0.25*(CASE WHEN g_ttm IS NULL OR g_3y IS NULL THEN 0.5 ELSE {c01('g_ttm/30')} END))::double"
+CASH = "CASE WHEN cfo > 0 THEN 0.8 WHEN cfo <= 0 THEN 0.1 ELSE 0.5 END"
+STRONG = f"(CASE WHEN financial THEN 0.5 WHEN debt IS NULL AND de IS NULL THEN NULL ELSE 0.4*(CASE WHEN debt_ago > 0 AND (debt-debt_ago)/debt_ago < -0.2 THEN 1.0 WHEN debt_ago > 0 AND (debt-debt_ago)/debt_ago > 0.5 THEN 0.15 ELSE 0.5 END)+0.4*coalesce({c01('1-de/1.5')}, 0.5)+0.2*(CASE WHEN cap_ago > 0 AND cap/cap_ago > 1.25 THEN greatest(({CASH})-0.3, 0.0) ELSE {CASH} END) END)::double"
+REC = "(coalesce(np_ago <= 0 AND np > 0, false) OR coalesce(g_ttm > 150, false))"
+SANE = f"(CASE WHEN pe IS NULL THEN 0.35 WHEN pe > 90 THEN CASE WHEN {REC} THEN 0.5 ELSE 0.05 END WHEN pe > 60 THEN CASE WHEN {REC} THEN 0.5 ELSE 0.25 END WHEN g_3y > 0 THEN CASE WHEN pe/g_3y < 1 THEN 0.95 WHEN pe/g_3y < 2 THEN 0.7 ELSE 0.45 END ELSE 0.55 END)::double"
+START = "(CASE WHEN pledge IS NULL OR pledge = 0 THEN 0.85 WHEN pledge <= 5 THEN 0.5 WHEN pledge <= 10 THEN 0.25 ELSE 0.05 END)"
+GOV = f"(CASE WHEN promoter_ago-promoter > 2 THEN greatest({START}-0.3, 0.0) WHEN promoter_ago-promoter < -1 THEN least({START}+0.1, 1.0) ELSE {START} END)::double"
+SMART = f"CASE WHEN fii IS NOT NULL OR dii IS NOT NULL THEN {c01('0.5+(coalesce(fii-fii_ago,0)+coalesce(dii-dii_ago,0))/6')} END::double"
 
 
 def dims():
     return {
-        "earnings": sc.earnings(D("np"), D("np_ago"), D("margin_up")),
-        "strength": sc.strength(D("debt"), D("debt_ago"), D("de"), D("cfo"), D("financial")),
-        "valuation": sc.valuation_sanity(D("pe"), D("peg"), D("np") > D("np_ago")),
+        "earnings": sc.earnings(D("np"), D("np_ago"), D("opm"), D("opm_ago"), D("g_ttm"), D("g_3y")),
+        "strength": sc.strength(D("debt"), D("debt_ago"), D("de"), D("cfo"), D("cap"), D("cap_ago"), D("financial")),
+        "valuation": sc.valuation_sanity(D("pe"), D("g_3y"), D("g_ttm"), D("np"), D("np_ago")),
         "governance": sc.governance(D("pledge"), D("promoter"), D("promoter_ago")),
-        "smart_money": sc.smart_money(D("fii"), D("dii")),
+        "smart_money": sc.smart_money(D("fii"), D("fii_ago"), D("dii"), D("dii_ago")),
     }
 
 
@@ -116,7 +119,7 @@ V1 = f"0.30*{GROWTH}+0.25*{QUALITY}+0.20*{BALANCE}+0.15*({VALUE})+0.10*0.5"
 
 
 def v1():
-    return sc.fundamental({"growth": sc.growth(D("sales"), D("profit")), "quality": sc.quality(D("roce"), D("roe")), "balance": sc.balance(D("de"), D("pledge"), D("trend")), "valuation": sc.valuation(D("peg")), "niche": F.lit(None).cast("double")})
+    return sc.fundamental({"growth": sc.growth(D("sales"), D("profit")), "quality": sc.quality(D("roce"), D("roe")), "balance": sc.balance(D("de"), D("pledge"), D("promoter"), D("moved")), "valuation": sc.valuation(D("peg")), "niche": F.lit(None).cast("double")})
 
 
 @query(f"{FIG_SQL} SELECT id, round(({V1})::double, 8) AS score FROM f")
@@ -131,9 +134,15 @@ def conviction_dimensions(spark, sf):
 
 
 
-@query(f"{FIG_SQL} SELECT id, concat_ws(',', CASE WHEN pledge > 10 THEN 'pledge' END, CASE WHEN de > 2 AND pe > 90 THEN 'debt and price' END, CASE WHEN promoter-promoter_ago < -2 THEN 'promoter exit' END) AS vetoes FROM f")
+@query(f"{FIG_SQL} SELECT id, concat_ws(',', CASE WHEN pledge > 10 THEN 'promoter_pledge' END, CASE WHEN de > 2 AND pe > 90 THEN 'leverage_plus_froth' END) AS vetoes, coalesce(promoter_ago-promoter > 2, false) AS promoter_drop FROM f")
 def vetoes(spark, sf):
-    return figures(spark, sf).select("id", F.concat_ws(",", sc.vetoes(D("pledge"), D("de"), D("pe"), D("promoter") - D("promoter_ago"))).alias("vetoes"))
+    return figures(spark, sf).select("id", F.concat_ws(",", sc.vetoes(D("pledge"), D("de"), D("pe"))).alias("vetoes"), F.coalesce(D("promoter_ago") - D("promoter") > 2, F.lit(False)).alias("promoter_drop"))
+
+
+@query(f"{FIG_SQL} SELECT id, concat_ws(',', CASE WHEN coalesce(np_ago < 0 AND np >= 0 AND opm > opm_ago, false) OR coalesce(NOT financial AND debt_ago > 0 AND (debt-debt_ago)/debt_ago < -0.3, false) THEN 'Turnaround' END, CASE WHEN roce >= 20 AND (de IS NULL OR de <= 0.3) AND g_3y >= 15 THEN 'Quality' END, CASE WHEN sales >= 30 AND profit >= 25 THEN 'Hyper-growth' END) AS archetypes FROM f")
+def archetypes(spark, sf):
+    kinds = sc.archetypes(D("np"), D("np_ago"), D("opm"), D("opm_ago"), D("debt"), D("debt_ago"), D("financial"), D("roce"), D("de"), D("g_3y"), D("sales"), D("profit"))
+    return figures(spark, sf).select("id", F.concat_ws(",", kinds).alias("archetypes"))
 
 
 @query(f"""{FIG_SQL}, d AS (SELECT id, coalesce(pledge > 10, false) AS veto, {EARN} AS e, {STRONG} AS s, {SANE} AS v, {GOV} AS g, {SMART} AS m FROM f),
