@@ -113,12 +113,17 @@ def assess(dimensions: dict[str, Column], vetoed: Column, weights: dict[str, int
 
 
 def entry_plan(entry: Column, atr: Column, stop: Column, scale: Column, r: cfg.Risk = cfg.Risk()) -> Column:
-    """struct(stop, shares, core, trading, partial, breakeven): null where the stop is too wide or no share fits."""
-    cap = entry * (1 - r.stop_cap_pct / 100)
-    chosen = F.when(stop.isNotNull(), stop).when(atr > 0, F.greatest(entry - r.stop_atr * atr, cap)).otherwise(cap)
-    risk = entry - chosen
-    wide = (risk <= 0) | (risk / entry * 100 > r.stop_cap_pct + 1e-9)
-    shares = F.least(F.floor(r.capital * r.risk_pct / 100 * scale / risk), F.floor(r.capital * r.value_cap_pct / 100 / entry))
-    core = F.floor(shares * r.lot_split)
-    plan = F.struct(chosen.alias("stop"), shares.alias("shares"), core.alias("core"), (shares - core).alias("trading"), (entry + r.partial_r * risk).alias("partial"), (entry + r.breakeven_r * risk).alias("breakeven"))
-    return F.when(~wide & (shares > 0), plan)
+    """struct(stop, shares, core, trading, partial, breakeven) of an entry; null where the stop is too wide.
+
+    The stop is the event's own, else some ATRs below, else the cap. A stop wider than the cap is no trade, it is not
+    moved. Too few shares for two lots are one trading lot.
+    """
+    cap = entry * (r.stop_cap_pct / 100)
+    risk = F.when(stop.isNotNull(), entry - stop).when(atr > 0, r.stop_atr * atr).otherwise(cap)
+    shares = F.least(F.floor(r.capital * r.risk_pct / 100 * scale / F.when(risk > 0, risk)), F.floor(r.capital * r.value_cap_pct / 100 / entry))
+    half = F.floor(shares * r.lot_split)
+    split = (half > 0) & (shares - half > 0)
+    plan = F.struct(
+        (entry - risk).alias("stop"), shares.alias("shares"), F.when(split, shares - half).otherwise(0).alias("core"), F.when(split, half).otherwise(shares).alias("trading"), (entry + r.partial_r * risk).alias("partial"), (entry + r.breakeven_r * risk).alias("breakeven")
+    )
+    return F.when((risk > 0) & (risk / entry * 100 <= r.stop_cap_pct), plan)

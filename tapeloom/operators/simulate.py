@@ -106,7 +106,7 @@ def allocate(found: DataFrame, grid: list[tuple[str, int, float]], r: Risk = Ris
                 if shares <= 0:
                     continue
                 trading = int(shares * r.lot_split)
-                lots = {"trading": trading, "core": shares - trading} if trading and shares - trading else {"core": shares}
+                lots = {"trading": trading, "core": shares - trading} if trading and shares - trading else {"trading": shares}
                 cash -= shares * c.entry
                 until = day
                 for lot, n in lots.items():

@@ -153,8 +153,8 @@ def conviction_assess(spark, sf):
     return figures(spark, sf).select("id", a.alias("a")).select("id", r(D("a.score")).alias("score"), "a.coverage", "a.label")
 
 
-@query(f"""{ATR_CTE}, l AS (SELECT symbol, close, atr, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM atr), p AS (SELECT symbol, close, greatest(close-2.5*atr, close*(1-12.0/100)) AS stop FROM l WHERE n = 1),
- q AS (SELECT *, least(floor(1000000.0*1.25/100*1.0/(close-stop)), floor(1000000.0*15.0/100/close))::bigint AS shares FROM p) SELECT symbol, round(stop, 8) AS stop, shares, (shares//2)::bigint AS core, (shares-shares//2)::bigint AS trading FROM q""", on_bars=True)
+@query(f"""{ATR_CTE}, l AS (SELECT symbol, close, atr, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM atr), p AS (SELECT symbol, close, 2.5*atr AS risk, 2.5*atr/close*100 <= 12 AS ok FROM l WHERE n = 1),
+ q AS (SELECT *, CASE WHEN ok THEN least(floor(1000000.0*1.25/100*1.0/risk), floor(1000000.0*15.0/100/close))::bigint END AS shares FROM p) SELECT symbol, CASE WHEN ok THEN round(close-risk, 8) END AS stop, shares, CASE WHEN shares > 1 THEN shares-shares//2 WHEN ok THEN 0 END::bigint AS core, CASE WHEN shares > 1 THEN shares//2 ELSE shares END::bigint AS trading FROM q""", on_bars=True)
 def entry_plans(spark, sf):
     last = ind.last_bar(ind.with_atr(bars(spark, sf)))
     plan = last.select("symbol", sc.entry_plan(D("close"), D("atr"), F.lit(None).cast("double"), F.lit(1.0)).alias("p"))

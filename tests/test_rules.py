@@ -189,3 +189,36 @@ def test_words_are_counted_once_and_with_endings(spark):
     t = spark.createDataFrame([("Haircuts and cuts; surging, surged, surges",)], "t string")
     r = t.select(tx.word_hits(F.col("t"), ["cuts", "surge", "fell"]).alias("n"), tx.sentiment(F.lit("Top gainers and losers surge")).alias("s"), tx.classify(F.lit("unit suspended; redemption of debenture"))["event"].alias("e")).first()
     assert (r["n"], r["s"], r["e"]) == (2, 0, None)
+
+
+def test_entry_plans(spark):
+    cases = [(115.0, 2.0, 110.5), (100.0, None, 80.0), (100.0, 2.0, None), (100.0, 6.0, None), (100.0, None, None)]
+    df = spark.createDataFrame(cases, "e double, a double, s double")
+    got = [r["p"] for r in df.select(scoring.entry_plan(F.col("e"), F.col("a"), F.col("s"), F.lit(1.0)).alias("p")).collect()]
+    assert [p and p["stop"] for p in got] == [110.5, None, 95.0, None, 88.0]
+    assert (got[2]["shares"], got[2]["trading"], got[2]["core"], got[2]["partial"], got[2]["breakeven"]) == (1500, 750, 750, 112.5, 107.5)
+
+
+def test_point_in_time_scores(spark):
+    from tapeloom.operators import pit
+
+    ends = [dt.date(2020 + i // 4, 3 * (i % 4) + 3, 28) for i in range(9)]
+
+    def section(lag, **metrics):
+        rows = [("A", e, e + dt.timedelta(days=lag), m, float(v)) for m, vs in metrics.items() for e, v in zip(ends, vs, strict=False) if v is not None]
+        return spark.createDataFrame([(s, e, k, m.replace("_", " "), v) for s, e, k, m, v in rows], "symbol string, period_end date, known_as_of date, metric string, value double")
+
+    q = section(45, **{"Net_Profit": [1, 1, 1, 1, 2, 2, 2, 2, 2], "EPS_in_Rs": [1] * 9})
+    bs = section(60, **{"Borrowings": [100, 90, 80, 50], "Equity_Capital": [10] * 4, "Reserves": [90] * 4})
+    cf = section(60, **{"Cash_from_Operating_Activity": [5, 5, 5, 5]})
+    sh = section(21, **{"FIIs": [1, 1, 1, 1, 4], "DIIs": [1, 1, 1, 1, 1], "Promoters": [50, 50, 50, 50, 47]})
+    bars = spark.createDataFrame([("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), 20.0) for i in range(1000)], "symbol string, date date, close double")
+    none = spark.createDataFrame([], "symbol string")
+    got = {r["date"]: r["fundamental_score"] for r in pit.on_bars(bars, pit.scores(bars, q, bs, cf, sh, none)).collect()}
+    assert got[ends[0] + dt.timedelta(days=44)] is None or got[ends[0] + dt.timedelta(days=44)] >= 0
+    # At the ninth quarter: profit 2 against 2 a year ago, 8 against 5 over a year, price 20 on earnings of 4 a share.
+    earnings = 0.45 * 0.5 + 0.30 * 1.0 + 0.25 * 1.0
+    strength = 0.4 * 1.0 + 0.4 * (1 - 0.5 / 1.5) + 0.2 * 0.8
+    parts = {"earnings": earnings, "strength": strength, "smart_money": 1.0, "governance": 0.4, "valuation": 0.95}
+    want = sum(pit.WEIGHTS[k] * v for k, v in parts.items()) / sum(pit.WEIGHTS.values())
+    assert abs(got[ends[8] + dt.timedelta(days=46)] - want) < 2e-4
