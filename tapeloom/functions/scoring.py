@@ -127,3 +127,33 @@ def entry_plan(entry: Column, atr: Column, stop: Column, scale: Column, r: cfg.R
         (entry - risk).alias("stop"), shares.alias("shares"), F.when(split, shares - half).otherwise(0).alias("core"), F.when(split, half).otherwise(shares).alias("trading"), (entry + r.partial_r * risk).alias("partial"), (entry + r.breakeven_r * risk).alias("breakeven")
     )
     return F.when((risk > 0) & (risk / entry * 100 <= r.stop_cap_pct), plan)
+
+
+def rs_and_stage(percentile: Column, blend: Column, checks: Column, stage: Column, vcp: Column) -> Column:
+    """Strength (its percentile, else the raw blend), trend checks, stage and a live base."""
+    strong = F.coalesce(percentile / 100.0, clip01((blend - 0.8) / 0.7), F.lit(0.5))
+    return 0.40 * strong + 0.30 * (F.coalesce(checks, F.lit(0)) / 8.0) + 0.15 * F.when(stage == 2, 1.0).when(stage == 1, 0.5).otherwise(0.0) + 0.15 * F.when(vcp, 1.0).otherwise(0.0)
+
+
+def entry_status(validated: Column, vcp: Column) -> Column:
+    return F.when(validated, "VALIDATED").when(vcp, "AWAITING TRIGGER").otherwise("NO VCP BASE")
+
+
+def conviction_band(score: Column) -> Column:
+    return F.when(score < 50, "<50").when(score < 60, "50-60").when(score < 70, "60-70").when(score.isNotNull(), "70+")
+
+
+def action(status: Column, kind: Column, trigger: Column) -> Column:
+    """What an alert asks for, as a style: veto, ep, mute, warn, act, watch or weak."""
+    gap = kind == "EPISODIC PIVOT"
+    return F.when(status == "VETOED", "veto").when(gap & (status != "FADED"), "ep").when(status == "FADED", "mute").when(status == "RAN AWAY", "warn").when(trigger == "VALIDATED", "act").when(trigger == "AWAITING TRIGGER", "watch").otherwise("weak")
+
+
+def catalyst_with_events(base: Column, events: Column, items: Column, mood: Column) -> Column:
+    """Events and the base score of themes; a clearly bad mood takes some of it."""
+    score = F.least(0.5 * F.least(events / 3.0, F.lit(1.0)) + 0.5 * base + F.when(items >= 5, 0.1).otherwise(0.0), F.lit(1.0))
+    return F.when(mood < -0.3, F.greatest(score - 0.2, F.lit(0.0))).otherwise(score)
+
+
+def theme_tailwind(themes: Column) -> Column:
+    return F.when(themes > 0, F.least(0.3 + 0.35 * F.least(themes, F.lit(2)), F.lit(1.0))).otherwise(0.3)

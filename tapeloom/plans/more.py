@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+from tapeloom.functions import scoring as sc
+from tapeloom.functions import text as tx
+from tapeloom.functions import vocabulary as v
 from tapeloom.functions.windows import back, by_symbol
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import metrics as mt
@@ -14,6 +17,7 @@ from tapeloom.sources.bars import benchmark
 from .base import bars, query, table
 from .market import ATR_CTE, BENCH_CTE, TAGS, W, mean_sql, r, tags
 from .screen import EARN, FIG_SQL, SANE, SMART, STRONG, TRADES, V1, dims, figures, trades, v1
+from .texts import HEAD, ROUND, headlines, hits, lst
 
 D = F.col
 
@@ -214,3 +218,51 @@ def capture_labels(spark, sf):
     left, seen = (D("peak") - D("px")) / F.nullif(D("peak") - D("a"), F.lit(0.0)), D("seen").isNotNull()
     label = F.when(seen & (left >= 0.5), "CAUGHT EARLY").when(seen & (left >= 0.15), "CAUGHT").when(seen, "LATE").when(D("ext") > 0, "EXTENDED").when(D("ant") > 0, "ANTICIPATION").otherwise("MISSED")
     return z.select("symbol", "seen", label.alias("label"))
+
+
+@query(f"{FIG_SQL} SELECT id, round((0.40*coalesce(CASE WHEN id % 4 <> 0 THEN (id % 100)/100.0 END, CASE WHEN id % 8 <> 0 THEN least(greatest(((id % 17)/10.0-0.8)/0.7, 0.0), 1.0) END, 0.5)+0.30*((id % 9)/8.0)+0.15*(CASE id % 5 WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END)+0.15*(CASE WHEN id % 6 = 0 THEN 1.0 ELSE 0.0 END))::double, 8) AS score FROM f")
+def rs_and_stage_scores(spark, sf):
+    k = D("id")
+    s = sc.rs_and_stage(F.when(k % 4 != 0, (k % 100).cast("double")), F.when(k % 8 != 0, k % 17 / 10.0), k % 9, k % 5, k % 6 == 0)
+    return figures(spark, sf).select("id", r(s).alias("score"))
+
+
+ALERTS = "WITH a AS (SELECT event_id AS id, ['ACTIONABLE', 'RAN AWAY', 'FADED', 'VETOED'][event_id % 4 + 1] AS status, CASE WHEN event_id % 7 = 0 THEN 'EPISODIC PIVOT' ELSE 'BUY CANDIDATE' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'VALIDATED' WHEN event_id % 5 = 0 THEN 'AWAITING TRIGGER' ELSE 'NO VCP BASE' END AS trigger, value AS conv FROM events), d AS (SELECT *, CASE WHEN status = 'VETOED' THEN 'veto' WHEN kind = 'EPISODIC PIVOT' AND status <> 'FADED' THEN 'ep' WHEN status = 'FADED' THEN 'mute' WHEN status = 'RAN AWAY' THEN 'warn' WHEN trigger = 'VALIDATED' THEN 'act' WHEN trigger = 'AWAITING TRIGGER' THEN 'watch' ELSE 'weak' END AS action, CASE WHEN conv < 50 THEN '<50' WHEN conv < 60 THEN '50-60' WHEN conv < 70 THEN '60-70' WHEN conv IS NOT NULL THEN '70+' END AS band FROM a)"
+
+
+def alerts(spark, sf):
+    k = D("event_id")
+    a = table(spark, sf, "events").select(k.alias("id"), F.get(F.array(*[F.lit(x) for x in ("ACTIONABLE", "RAN AWAY", "FADED", "VETOED")]), (k % 4).cast("int")).alias("status"), F.when(k % 7 == 0, "EPISODIC PIVOT").otherwise("BUY CANDIDATE").alias("kind"), sc.entry_status(k % 3 == 0, k % 5 == 0).alias("trigger"), D("value").alias("conv"))
+    return a.withColumns({"action": sc.action(D("status"), D("kind"), D("trigger")), "band": sc.conviction_band(D("conv"))})
+
+
+@query(f"{ALERTS} SELECT id, status, kind, trigger, action, band FROM d")
+def action_labels(spark, sf):
+    return alerts(spark, sf).drop("conv")
+
+
+@query(f"{ALERTS} SELECT id, action FROM d ORDER BY CASE status WHEN 'ACTIONABLE' THEN 0 WHEN 'RAN AWAY' THEN 1 WHEN 'FADED' THEN 2 ELSE 3 END, CASE WHEN kind = 'EPISODIC PIVOT' OR trigger = 'VALIDATED' THEN 0 WHEN trigger = 'AWAITING TRIGGER' THEN 1 ELSE 2 END, conv DESC NULLS LAST, id LIMIT 25")
+def actionable_top25(spark, sf):
+    """The first 25 alerts by status, trigger and conviction."""
+    status = F.when(D("status") == "ACTIONABLE", 0).when(D("status") == "RAN AWAY", 1).when(D("status") == "FADED", 2).otherwise(3)
+    trigger = F.when((D("kind") == "EPISODIC PIVOT") | (D("trigger") == "VALIDATED"), 0).when(D("trigger") == "AWAITING TRIGGER", 1).otherwise(2)
+    return alerts(spark, sf).orderBy(status, trigger, D("conv").desc_nulls_last(), "id").limit(25).select("id", "action")
+
+
+@query(
+    f"""{HEAD}, x AS (SELECT *, list_filter({lst(v.THEMES)}, lambda s: contains(lower(title), lower(s))) AS th, list_filter({lst(v.EVENTS)}, lambda s: contains(lower(title), lower(s))) AS ev, len(list_filter({lst(v.RED_FLAGS)}, lambda s: contains(lower(title), lower(s)))) AS red,
+    len(list_filter({lst(v.TRUSTED)}, lambda s: contains(lower(source), s))) > 0 AND NOT {ROUND} AS ok, CASE WHEN {ROUND} THEN 0 ELSE sign({hits(v.UP)} - {hits(v.DOWN)})::int END AS mood FROM h),
+    g AS (SELECT name, count_if(ok)::bigint AS items, sum(red)::bigint AS red_flags, round(avg(CASE WHEN ok THEN mood END), 2) AS mood, max(CASE WHEN ok AND len(th) > 0 THEN date END) AS latest, len(list_distinct(flatten(list(th) FILTER (ok)))) AS themes, len(list_distinct(flatten(list(ev) FILTER (ok)))) AS events FROM x GROUP BY 1),
+    b AS (SELECT *, CASE WHEN themes > 0 THEN 0.5*least(themes/3.0, 1.0)+0.3*greatest(1-date_diff('day', latest, DATE '2024-06-30')/60.0, 0.0)+0.2*least(items/10.0, 1.0) ELSE 0 END AS base FROM g),
+    c AS (SELECT *, least(0.5*least(events/3.0, 1.0)+0.5*base+CASE WHEN items >= 5 THEN 0.1 ELSE 0 END, 1.0) AS cat FROM b)
+    SELECT name, items, red_flags, round((CASE WHEN mood < -0.3 THEN greatest(cat-0.2, 0.0) ELSE cat END)::double, 6) AS catalyst, round((CASE WHEN themes > 0 THEN least(0.3+0.35*least(themes, 2), 1.0) ELSE 0.3 END)::double, 6) AS theme FROM c"""
+)
+def news_enrichment(spark, sf):
+    """Catalyst and theme scores of a company from trusted headlines that are no roundups; red flags from all."""
+    t = D("title")
+    x = headlines(spark, sf).withColumns({"ok": tx.is_trusted(D("source")) & ~tx.is_roundup(t), "mood": tx.sentiment(t), "th": tx.keyword_hits(t, v.THEMES), "ev": tx.keyword_hits(t, v.EVENTS), "red": F.size(tx.keyword_hits(t, v.RED_FLAGS))})
+    among = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(D("ok"), D(c))))))
+    latest = F.max(F.when(D("ok") & (F.size("th") > 0), D("date")))
+    g = x.groupBy("name").agg(F.count_if("ok").alias("items"), F.sum("red").alias("red_flags"), F.round(F.avg(F.when(D("ok"), D("mood"))), 2).alias("mood"), latest.alias("latest"), among("th").alias("themes"), among("ev").alias("events"))
+    base = tx.catalyst(D("themes"), D("items"), F.date_diff(F.lit("2024-06-30").cast("date"), "latest"))
+    return g.select("name", "items", "red_flags", F.round(sc.catalyst_with_events(base, D("events"), D("items"), D("mood")), 6).alias("catalyst"), F.round(sc.theme_tailwind(D("themes")), 6).alias("theme"))
