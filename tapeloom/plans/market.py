@@ -24,7 +24,7 @@ def mean_sql(c: str, n: int, least: int | None = None) -> str:
 
 W = "OVER (PARTITION BY symbol ORDER BY date)"
 ATR_CTE = f"tr AS (SELECT *, greatest(high-low, abs(high-lag(close) {W}), abs(low-lag(close) {W})) AS tr FROM bars), atr AS (SELECT *, {mean_sql('tr', 14)} AS atr FROM tr)"
-BENCH_CTE = "bench AS (SELECT date, avg(close) AS bench FROM bars GROUP BY 1)"
+BENCH_CTE = "bench AS (SELECT date, sum(round(close*10000)::bigint)/(count(close)*10000.0::double) AS bench FROM bars GROUP BY 1)"
 
 
 def r(c, n=8):

@@ -60,8 +60,8 @@ def adjustments(old: DataFrame, new: DataFrame, beyond: float = 0.30, least: int
 
 
 def benchmark(bars: DataFrame) -> DataFrame:
-    """(date, bench): mean close of all symbols."""
-    return bars.groupBy("date").agg(F.avg("close").alias("bench"))
+    """(date, bench): mean close of all symbols, from ten-thousandths, so that the order of addition changes nothing."""
+    return bars.groupBy("date").agg((F.sum(F.round(F.col("close") * 10_000).cast("long")) / (F.count("close") * F.lit(10_000.0))).alias("bench"))
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
