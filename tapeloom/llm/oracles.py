@@ -43,6 +43,8 @@ r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOI
 SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)
 """
 
+LINK_COUNTS = LINKS.replace("AS component_id FROM", "AS component_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::bigint AS n_links FROM")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": LINKS, "op4_quality_rules": QUALITY, "op5_warc": REVISITS, "op6_substring_dedup": REPEATS}
+    return {"op3_ngram_jaccard_join": LINKS, "op3_ngram_jaccard_links": LINK_COUNTS, "op4_quality_rules": QUALITY, "op5_warc": REVISITS, "op6_substring_dedup": REPEATS}

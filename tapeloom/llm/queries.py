@@ -30,6 +30,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.link(table(spark, sf_dir, "documents"), k=4, percent=85, links=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,5 +70,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    of_tables = (op1_toxicity, op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op5_warc, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)
+    of_tables = (op1_toxicity, op2_token_tables, op3_ngram_jaccard_join, op3_ngram_jaccard_links, op4_quality_rules, op5_warc, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)
     return {f.__name__: f for f in (*of_tables, pipeline)}

@@ -12,10 +12,11 @@ Skips of two kinds keep the lists from being paired out:
   components are compared. In a group of near copies that leaves the few sets at the edge.
 
 Candidates are verified exactly on whole sets (64-bit hashes of shingles; two different shingles share one with a
-chance below 1e-3 in 10^8). Nothing is capped: every pair that could link two components is verified.
+chance below 1e-3 in 10^8). Nothing is capped: every pair that could link two components is verified. The number of
+links of each row, where asked for, comes from comparing all sets inside a component.
 
 Defined results: a null or empty text has no shingles and links with nothing; rows
-without id stand for no component; repeated rows are copies of each other;
+without id stand for no component and no link; repeated rows are copies of each other;
 a text with fewer words than k is one shingle; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -39,6 +40,8 @@ CELLS = 1 << 20
 #: Up to this size, ids are broadcast to the texts.
 BROADCAST_BYTES = 64 << 20
 _SLICES = 64
+#: Classes of a large component that a task compares with as many others, and shingles it takes at a time.
+BLOCK, COLUMNS = 512, 8192
 
 
 def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +325,98 @@ def verify(pairs: DataFrame, sets: DataFrame, sim: Fraction) -> DataFrame:
     return seen.select("a", "b", F.col("overlap").cast("long"), linked.alias("linked")).distinct()
 
 
-def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: size of its set, and the least id that links can reach from it."""
+def _members(k: int):
+    """The sets of classes, from the texts of their first documents; a text of another class with that id is left out."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for comp, blocks, n, key, texts in ta.chunks(batches, ["component", "blocks", "docs", "key", "text"]):
+            raw = [ta.lower(t) for t in texts]
+            own = [i for i, t in enumerate(raw) if key_of(t) == key[i]]
+            h, first = shingles([raw[i] for i in own], k)
+            grams = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            longs = [pa.array([c[i] for i in own], pa.int64()) for c in (comp, blocks, n, key)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(grams, pa.binary())], names=["component", "blocks", "docs", "key", "grams"])
+
+    return of
+
+
+def linked_docs(rows: list[np.ndarray], columns: list[np.ndarray], docs: np.ndarray, sim: Fraction) -> np.ndarray:
+    """Which sets of rows are linked with which of columns, as sums of docs (of the columns) for each row."""
+    m, sizes = len(rows), np.array([len(s) for s in (*rows, *columns)], np.int64)
+    _, at, n = np.unique(np.concatenate([*rows, *columns]), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    often = n[at] > 1  # what only one set has adds to no overlap
+    number = np.cumsum(n > 1) - 1
+    who, at = who[often], number[at[often]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    overlap = np.zeros((m, len(columns)), np.int64)
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        b, c = np.searchsorted(at, [a, a + COLUMNS])
+        x = np.zeros((len(sizes), min(COLUMNS, int(at[-1]) + 1 - a)), np.float32)
+        x[who[b:c], at[b:c] - a] = 1
+        overlap += (x[:m] @ x[m:].T).astype(np.int64)
+    both = sizes[:m, None] + sizes[None, m:] - overlap
+    return (sim.denominator * overlap >= sim.numerator * both).astype(np.int64) @ docs
+
+
+def _count(sim: Fraction):
+    """For the sets of whole components, or of two blocks of one, the documents of other sets that each is linked with."""
+
+    def of(t: pa.Table) -> pa.Table:
+        comp, lo, hi, block, key, docs = (t.column(c).to_numpy() for c in ("component", "lo", "hi", "block", "key", "docs"))
+        grams = t.column("grams").to_pylist()
+        order = np.lexsort((key, block, hi, lo, comp))
+        fresh = np.ones(len(order), bool)  # repeated rows of the first document
+        fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (comp, lo, hi, key)], axis=0)
+        order = order[fresh]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (comp, lo, hi)], axis=0)
+        keys, sums = [], []
+        for g in np.split(order, np.flatnonzero(new)[1:]):
+            sets = [np.frombuffer(grams[i], np.uint64) for i in g]
+            m = int((block[g] == lo[g]).sum())
+            if lo[g[0]] == hi[g[0]]:
+                found = linked_docs(sets, sets, docs[g], sim) - docs[g]
+            elif 0 < m < len(g):
+                found = np.append(linked_docs(sets[:m], sets[m:], docs[g[m:]], sim), linked_docs(sets[m:], sets[:m], docs[g[:m]], sim))
+            else:
+                continue
+            keys.append(key[g])
+            sums.append(found)
+        keys, sums = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, sums))
+        return pa.table({"key": pa.array(keys, pa.int64()), "n": pa.array(sums, pa.int64())})
+
+    return of
+
+
+def link_counts(docs: DataFrame, placed: DataFrame, k: int, sim: Fraction, id_col: str, text_col: str) -> DataFrame:
+    """(key, n): documents in other classes that a class is linked with. placed: (key, id, docs, n_shingles, component).
+
+    All links lie inside components, so each component's sets are compared with each other, whole and exactly: small
+    components together, large ones as pairs of blocks, each in its own task. No pair becomes a row.
+    """
+    sizes = placed.groupBy("component").agg(F.count("*").alias("classes")).filter("classes > 1")
+    inside = cut(placed.join(sizes, "component").select("component", "key", F.col("id").alias("__id"), "docs", "n_shingles", F.ceil(F.col("classes") / BLOCK).cast("long").alias("blocks")))
+    seen = inside.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, (seen["shingles"] or 0) // 1_000_000 + 1)
+    wanted = inside.drop("n_shingles")
+    if seen["n"] * 40 <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(wanted, "__id").select("component", "blocks", "docs", "key", "text")
+    sets = texts.mapInArrow(_members(k), "component long, blocks long, docs long, key long, grams binary")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    dealt = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "lo", "hi"))
+    return dealt.withColumn("task", task).drop("blocks", "other").groupBy("task").applyInArrow(_count(sim), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: size of its set, and the least id that links can reach from it.
+
+    With links also n_links: the other rows with an id that the row is linked with.
+    """
     spark = df.sparkSession
     small_arrow_batches(spark)
     sim = Fraction(percent, 100)
@@ -361,7 +454,15 @@ def link(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", t
     edges = joined.join(small.select(F.col("key").alias("a"), F.col("least_id").alias("x")), "a").join(small.select(F.col("key").alias("b"), F.col("least_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = components(edges)
     of_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    return narrow.drop("parts").join(of_class, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    told = [F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")]
+    if not links:
+        return narrow.drop("parts").join(of_class, "key", "left").select(*told)
+    copies = narrow.filter("n_shingles > 0 and id is not null").groupBy("key").agg(F.count("*").alias("docs"))
+    of_class = cut(of_class.join(copies, "key", "left"))
+    placed = classes.drop("parts").join(of_class.filter("component_id is not null").withColumnRenamed("component_id", "component"), "key")
+    of_class = of_class.join(link_counts(docs, placed, k, sim, id_col, text_col), "key", "left")
+    n_links = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("docs") - 1 + F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
+    return narrow.drop("parts").join(of_class, "key", "left").select(*told, n_links.cast("long").alias("n_links"))
 
 
 def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
