@@ -4,10 +4,13 @@ Documents are linked when their texts are equal (null counts as empty). Propagat
 each (group of equal texts, shard) and the number of the group's documents there, which is far smaller than the
 documents, and the same for a group of three and one of a billion. In a round each group picks as its target the
 shard with most of it that still has room; parts of it elsewhere move there, and where more want in than fit, every
-part sends the fraction that the quota allows. Documents without a twin follow no neighbour: they fill what is left.
+part sends the fraction that the quota allows. What propagation leaves cut is then made whole: groups above 1/64 of a shard,
+of which there are at most 64 a shard, are packed by size; of the smaller ones those whole in a shard with room for
+them stay, and the others are laid end to end over the room that is left, where no more than one a shard can meet an
+edge. Those take the first room that fits. Documents without a twin follow no neighbour: they fill what is left.
 At the end counts differ by one at most.
 
-Native: DataFrame functions only; on the driver are numbers of one row a shard. Defined results: null and empty texts
+Native: DataFrame functions only; on the driver are numbers of one row a shard, and at most 64 groups a shard. Defined results: null and empty texts
 have size 1 and crc32 0 and are one group; equal rows are placed as separate documents; extra columns are dropped; an
 empty table gives an empty result.
 """
@@ -46,9 +49,9 @@ def propagate(state: DataFrame, caps: list[int], rounds: int = 12) -> tuple[Data
     load = loads(state, shards)
     for turn in range(rounds):
         room = [max(0, c - n) for c, n in zip(caps, load, strict=True)]
-        if not any(r > c // 100 for r, c in zip(room, caps, strict=True)):
+        if not any(room):
             break
-        free = F.array(*[F.lit(r > c // 100) for r, c in zip(room, caps, strict=True)])
+        free = F.array(*[F.lit(r > 0) for r in room])
         of_key = Window.partitionBy("key").orderBy(F.when(F.get(free, F.col("shard")), F.col("n")).otherwise(-1).desc(), F.xxhash64("key", "shard"))
         aimed = state.withColumn("target", F.first(F.when(F.get(free, F.col("shard")), F.col("shard")), ignorenulls=False).over(of_key))
         aimed = cut(aimed.withColumn("at_target", F.max(F.when(F.col("shard") == F.col("target"), F.col("n"))).over(Window.partitionBy("key"))))
@@ -66,6 +69,79 @@ def propagate(state: DataFrame, caps: list[int], rounds: int = 12) -> tuple[Data
     return state, load
 
 
+def pack(groups: list[tuple[str, int, int | None]], room: list[int]) -> list[tuple[str, int, int]]:
+    """(key, shard, n) of groups (key, n, shard with most of it), the largest first: whole in that shard if it fits, else
+    where it leaves least; what fits nowhere fills the shards with most room. Of both orders the one that cuts less."""
+
+    def tried(stay: bool) -> tuple[int, list[tuple[str, int, int]]]:
+        left, out, whole, parts = list(room), [], 0, []
+        for key, n, at in sorted(groups, key=lambda g: (-g[1], g[0])):
+            fits = [s for s in range(len(left)) if left[s] >= n]
+            if fits:
+                s = at if stay and at in fits else min(fits, key=lambda s: (left[s], s))
+                left[s] -= n
+                out.append((key, s, n))
+                whole += n
+            elif n > max(room):
+                out += filled(key, n, left)
+            else:
+                parts.append((key, n))  # after those that fit
+        for key, n in parts:
+            out += filled(key, n, left)
+        return whole, out
+
+    def filled(key: str, n: int, left: list[int]) -> list[tuple[str, int, int]]:
+        out = []
+        while n:
+            s = max(range(len(left)), key=lambda s: (left[s], -s))
+            x = min(n, left[s])
+            left[s] -= x
+            n -= x
+            out.append((key, s, x))
+        return out
+
+    return max((tried(True), tried(False)), key=lambda x: x[0])[1]
+
+
+def upto_within(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Adds upto, the sum of n up to and with each row among those of equal keys, with no key's rows in one task."""
+    df = df.withColumn("__bucket", spread_of(F.col("key"), buckets=buckets))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = df.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.sum("n").over(Window.partitionBy(*keys, "__bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("upto", within).join(offs, [*keys, "__bucket"]).withColumn("upto", F.col("upto") + F.col("__off")).drop("__bucket", "__off")
+
+
+def finish(state: DataFrame, caps: list[int], buckets: int = 1024) -> tuple[DataFrame, list[int]]:
+    """State with every group whole that fits, and no shard over its quota."""
+    shards, spark = len(caps), state.sparkSession
+    most = F.max(F.struct("n", (-F.col("shard")).alias("s")))
+    groups = cut(state.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("shards"), (-most["s"]).alias("shard")))
+    large = F.col("n") > max(min(caps) // 64, 1)
+    placed = pack([(r["key"], r["n"], r["shard"]) for r in groups.filter(large).select("key", "n", "shard").collect()], caps)
+    room = list(caps)
+    for _, s, n in placed:
+        room[s] -= n
+
+    small = groups.filter(~large)
+    held = upto_within(small.filter("shards = 1").select("key", "shard", "n"), ["shard"], buckets)
+    free = F.get(F.array(*[F.lit(r).cast("long") for r in room]), F.col("shard"))
+    held = cut(held.withColumn("stays", F.col("upto") <= free))
+    kept = held.filter("stays").select("key", "shard", "n")
+    room = [r - n for r, n in zip(room, loads(kept, shards), strict=True)]
+    pool = held.filter(~F.col("stays")).select("key", "n").unionByName(small.filter("shards > 1").select("key", "n"))
+    ends = [sum(room[: s + 1]) for s in range(shards)]
+    at = lambda x: F.filter(F.array(*[F.struct(F.lit(e).cast("long").alias("e"), F.lit(s).alias("s")) for s, e in enumerate(ends)]), lambda p: p["e"] > x)[0]["s"]
+    laid = upto_within(pool.withColumn("all", F.lit(ALONE)), ["all"], buckets).drop("all")
+    laid = cut(laid.withColumn("shard", at(F.col("upto") - F.col("n"))).withColumn("last", at(F.col("upto") - 1)))
+    inside = laid.filter("shard = last").select("key", "shard", "n")
+    room = [r - n for r, n in zip(room, loads(inside, shards), strict=True)]
+    placed += pack([(r["key"], r["n"], None) for r in laid.filter("shard != last").select("key", "n").collect()], room)  # at most one a shard
+    few = spark.createDataFrame(placed, "key string, shard int, n long")
+    state = cut(kept.unionByName(inside).unionByName(few))
+    return state, loads(state, shards)
+
+
 def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, buckets: int = 1024) -> DataFrame:
     """(id, size, text_crc32, law 'rows', shard, slot, grown_shard null, group_rows, group_shards).
 
@@ -79,7 +155,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     sizes = parts.groupBy("key").agg(F.sum("n").alias("group_rows")).filter("group_rows > 1")
     first = F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int").alias("shard")
     state = cut(parts.join(sizes, "key", "left_semi").groupBy("key", first).agg(F.sum("n").alias("n")))
-    state, load = propagate(state, caps, rounds)
+    state, load = finish(propagate(state, caps, rounds)[0], caps, buckets)
 
     # Where each group's documents go, by rank in the group: up to one row a shard, as an array.
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("shard"))
