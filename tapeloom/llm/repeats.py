@@ -1,12 +1,14 @@
-"""Removal of repeated word runs by prefix-partitioned suffix trees.
+"""Removal of repeated word runs by prefix-partitioned groups of hashed windows.
 
-Every word of every text begins a suffix. Suffixes are split by variable-length prefixes into groups that fit into
+No suffix tree is built: there is no order of suffixes by their words, no common-prefix length and no inner node, and
+maximal repeats (start, length, owner) are not returned. What is found is which windows of fixed length repeat.
+
+Every window of words is known by a 64-bit hash. Windows are split by variable-length prefixes into groups that fit into
 memory: those whose first word is rare enough share a group by that word; where a first word (or a cell of them) has
-too many, its suffixes are told apart by two, four or all words of the window. The lengths follow from counts over
-the whole corpus. In a group the suffixes are sorted by their path label down to the window's depth; a deep internal
-node, one at that depth or below with more than one leaf, is a repeat, and the least document of its leaves owns it.
-Labels are 64-bit fingerprints of the words on the path, so that no text travels: a window's label stands for its
-node, and labels of different windows agree with a chance below 1e-3 in 10^8.
+too many, its windows are told apart by two, four or all words of the window. The lengths follow from counts over
+the whole corpus. In a group equal hashes (labels) are one window, and the least document that has it owns it. No text
+travels, and equal labels are not checked against words: labels of different windows agree with a chance below 1e-3
+in 10^8.
 
 A chunk of texts sends each of its labels once, with the least document, and gets back one bit: whether an earlier
 document elsewhere has it, too. Hot passages thus cost one entry a chunk, however many texts share them.
@@ -63,7 +65,7 @@ def _statistics(window: int, text_col: str):
 
 
 class Plan:
-    """Which prefix tells a suffix's group: for each first-word cell its length, its first group and how many it has."""
+    """Which prefix tells a window's group: for each first-word cell its length, its first group and how many it has."""
 
     def __init__(self, counts: np.ndarray, limit: int):
         cell = counts[0].sum(axis=1)
@@ -125,7 +127,7 @@ def _send(window: int, plan, id_col: str, text_col: str):
 
 
 def _nodes(t: pa.Table) -> pa.Table:
-    """Of a group of suffixes: for each chunk, which labels end at a node that an earlier document owns, as bits."""
+    """Of a group of windows: for each chunk, which labels an earlier document owns, as bits."""
     rows = t.to_pylist()
     label = [ta.unpack_sorted(r["labels"], np.uint64) for r in rows]
     least = [ta.unpack(r["ids"], np.int64)[ta.unpack(r["who"], np.uint32)] for r in rows]
