@@ -1,10 +1,10 @@
 """Training texts that hold benchmark items, by BM25 with block-max WAND.
 
 Items are cut into segments of at most `segment` words; the index holds the segments' three-word terms with their BM25
-impacts, as shares of the segment's own score, in postings of blocks with each block's largest impact. Every text is
-cut into overlapping passages, and each passage is a query: all segments at the threshold or above are retrieved. A
-passage whose terms' largest impacts sum to less cannot reach any; that bound is computed for all passages at once,
-and block-max WAND runs on the rest. What it retrieves is verified on the whole text: how much of the item's question
+impacts, as shares of the segment's own score, in postings of blocks with each block's largest impact. Every whole text
+is a query, as verification takes the whole text, too: all segments at the threshold or above are retrieved, however
+far apart their parts stand. A text whose terms' largest impacts sum to less cannot reach any; that bound is computed
+for all texts of a chunk at once, and block-max WAND runs on the rest. What it retrieves is verified on the whole text: how much of the item's question
 and of its answer (five-word shingles) stands there.
 
 The index of one block of items (bounded bytes) is broadcast at a time; more items take more rounds over the texts.
@@ -148,33 +148,22 @@ class Index:
         return out
 
 
-def _leaks(index, segment: int, least: float, overlap: float, id_col: str, text_col: str):
+def _leaks(index, least: float, overlap: float, id_col: str, text_col: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx: Index = index.value
         for ids, texts in ta.chunks(batches, [id_col, text_col]):
             w = ta.words([ta.lower(t) for t in texts], ta.NOT_ALNUM)
-            doc, where, term = [], [], []
+            doc, term = [], []
             for k in idx.lengths:
                 h, inside = w.runs(k)
                 at = np.minimum(np.searchsorted(idx.terms, h), len(idx.terms) - 1)
                 hit = np.flatnonzero(inside & (idx.terms[at] == h))
-                d = np.searchsorted(w.first, hit, "right") - 1
-                doc, where, term = [*doc, d], [*where, hit - w.first[d]], [*term, at[hit]]
-            doc, where, term = np.concatenate(doc), np.concatenate(where), np.concatenate(term)
-            # Passages begin every `segment` words and are twice as long, so that one holds any segment whole.
-            passage = where // segment
-            back = passage > 0
-            doc, passage, term = np.append(doc, doc[back]), np.append(passage, passage[back] - 1), np.append(term, term[back])
-            order = np.lexsort((term, passage, doc))
-            doc, passage, term = doc[order], passage[order], term[order]
+                doc, term = [*doc, np.searchsorted(w.first, hit, "right") - 1], [*term, at[hit]]
+            doc, term = np.concatenate(doc), np.concatenate(term)
             if not len(doc):
                 continue
-            new_p = np.ones(len(doc), bool)
-            new_p[1:] = (doc[1:] != doc[:-1]) | (passage[1:] != passage[:-1])
-            fresh = new_p.copy()
-            fresh[1:] |= term[1:] != term[:-1]
-            doc, term, new_p = doc[fresh], term[fresh], new_p[fresh]
-            cuts = np.flatnonzero(new_p)
+            doc, term = np.unique(np.stack([doc, term]), axis=1)
+            cuts = np.flatnonzero(np.diff(doc, prepend=-1))
             able = np.add.reduceat(idx.most[term], cuts) >= least - 1e-9
             ends = np.append(cuts[1:], len(doc))
             best: dict[tuple[int, int], float] = {}
@@ -220,7 +209,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # block_bytes or so
         index = Index(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), segment)
         if len(index.terms):
-            out = out.unionByName(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(index), segment, least, overlap, id_col, text_col), out.schema))
+            out = out.unionByName(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(index), least, overlap, id_col, text_col), out.schema))
     return out
 
 
