@@ -5,6 +5,13 @@ from tapeloom.llm import decontaminate
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota? kappa lambda mu nu xi omicron pi rho sigma."
 
 
+def test_rows_that_share_an_id(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(None, f"so {ITEM}"), (None, "clean without an id"), (7, f"well {ITEM}"), (7, "clean with an id that repeats"), (8, None), (None, None), (9, f"so {ITEM}")]
+    kept = decontaminate.drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [r for r in rows if not r[1] or "clean" in r[1]]))
+
+
 def test_parts_that_stand_far_apart(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     question, answer = decontaminate.question_and_answer(ITEM)
