@@ -1,20 +1,24 @@
-"""Removal of repeated word runs by prefix-partitioned groups of hashed windows.
+"""Removal of repeated word runs by prefix-partitioned suffix trees.
 
-No suffix tree is built: there is no order of suffixes by their words, no common-prefix length and no inner node, and
-maximal repeats (start, length, owner) are not returned. What is found is which windows of fixed length repeat.
+Suffixes are split by variable-length prefixes into groups that fit into memory: those whose first word is rare enough
+share a group by that word; where a first word (or a cell of them) has too many, its suffixes are told apart by two,
+four or all words of a window. The lengths follow from counts over the whole corpus. A group's subtree is built from its
+suffixes sorted by their words and the common-prefix lengths of neighbours; its inner nodes of `window` words or more
+that have different words before them are the maximal repeats. A word is covered where a maximal repeat also starts in
+a document with a smaller id: any window that two documents share extends to such a node, to the left and to the right.
 
-Every window of words is known by a 64-bit hash. Windows are split by variable-length prefixes into groups that fit into
-memory: those whose first word is rare enough share a group by that word; where a first word (or a cell of them) has
-too many, its windows are told apart by two, four or all words of the window. The lengths follow from counts over
-the whole corpus. In a group equal hashes (labels) are one window, and the least document that has it owns it. No text
-travels, and equal labels are not checked against words: labels of different windows agree with a chance below 1e-3
-in 10^8.
+Only suffixes that can be leaves below a maximal repeat get into a tree; two sieves find them, chunk of texts by chunk:
+* fingerprints of windows (as many bits as the number of all windows needs) tell which windows may repeat. Beyond the
+  windows that do, no repeat goes on: a suffix ends where its run of repeated windows ends;
+* of those, 64-bit labels and the word before tell which have different words before them. If all occurrences follow
+  the same word, the repeat begins further left, and the whole subtree is left out.
 
-A chunk of texts sends each of its labels once, with the least document, and gets back one bit: whether an earlier
-document elsewhere has it, too. Hot passages thus cost one entry a chunk, however many texts share them.
+A chunk sends each fingerprint, label and different suffix once, suffixes sorted and front-coded; a passage that is
+common to all texts is an entry a chunk in its tree. Suffixes are compared by 40 bits a word below equal labels.
 
 Defined results: null texts have no words; a null id counts as later than all others; rows with equal ids do not take
-words from each other; texts shorter than the window stay whole; extra columns are ignored.
+words from each other; texts shorter than the window stay whole; one very long text is a chunk of its own and its runs
+are cut nowhere; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +28,22 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import small_arrow_batches
+from .common import cut, release, small_arrow_batches
 
 #: First-word cells of the prefix statistics, finer cells below each, and prefix lengths tried, in words.
 CELLS, FINE = 512, 32
 LENGTHS = (1, 2, 4)
+#: Fingerprints have so many bits beyond the logarithm of the number of windows.
+SPARE_BITS = 8
+#: Bytes of a word's hash in a suffix.
+WORD_BYTES = 5
+#: What stands before a window: different words, the beginning of one text, or else 32 bits of the word's hash.
+MANY, START = 0, 1
 _LAST = np.iinfo(np.int64).max
 
 
@@ -40,12 +51,8 @@ def _raw(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _prefixes(w: ta.Words, window: int) -> list[np.ndarray]:
-    return [w.runs(n)[0] for n in (*LENGTHS, window)]
-
-
 def _statistics(window: int, text_col: str):
-    """Counts of windows by (prefix length, first-word cell, finer cell); length -1: bytes."""
+    """Counts of windows by (prefix length, first-word cell, finer cell); place -1: bytes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, size = np.zeros((len(LENGTHS), CELLS, FINE), np.int64), 0
@@ -57,7 +64,7 @@ def _statistics(window: int, text_col: str):
             first = (w.hash[inside] % np.uint64(CELLS)).astype(np.int64)
             for i, n in enumerate(LENGTHS):
                 fine = (w.runs(n)[0][inside] >> np.uint64(32)).astype(np.int64) % FINE
-                np.add.at(counts[i], (first, fine), 1)
+                counts[i] += np.bincount(first * FINE + fine, minlength=CELLS * FINE).reshape(CELLS, FINE)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"place": pa.array([-1, *at], pa.int64()), "n": pa.array([size, *counts.reshape(-1)[at]], pa.int64())})
 
@@ -82,110 +89,407 @@ class Plan:
         ends = next_free + np.cumsum(self.parts[wide])
         self.base[wide] = ends - self.parts[wide]
         self.groups = int(ends[-1]) if len(wide) else next_free
+        self.shift = np.uint64(max(0, 64 - SPARE_BITS - int(cell.sum()).bit_length()))
 
     def group(self, w: ta.Words, window: int) -> np.ndarray:
         cell = (w.hash % np.uint64(CELLS)).astype(np.int64)
-        prefix = np.stack(_prefixes(w, window))[self.length[cell], np.arange(len(cell))]
+        prefix = np.stack([w.runs(n)[0] for n in (*LENGTHS, window)])[self.length[cell], np.arange(len(cell))]
         return self.base[cell] + ((prefix >> np.uint64(20)) % self.parts[cell].astype(np.uint64)).astype(np.int64)
 
 
+def _distinct(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (group, value), where each different pair begins in it, and the number of each row's pair."""
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), entry
+
+
+def _by_group(group: np.ndarray) -> list[tuple[int, int, int]]:
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    return [(int(group[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _bits(rows: list[dict], group: np.ndarray) -> np.ndarray:
+    """Bits of a chunk's entries (sorted by group), put together from the answers of the groups."""
+    out = np.zeros(len(group), bool)
+    for r in rows:
+        a, z = np.searchsorted(group, r["grp"]), np.searchsorted(group, r["grp"], "right")
+        out[a:z] = np.unpackbits(ta.unpack(r["data"], np.uint8), count=z - a)
+    return out
+
+
+def _answers(t: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:
+    bits = [ta.pack(np.packbits(b)) for b in np.split(flags, np.cumsum(sizes)[:-1])]
+    return pa.table({"grp": t.column("grp"), "chunk": t.column("chunk"), "data": pa.array(bits, pa.binary())})
+
+
+ANSWER = "grp long, chunk long, data binary"
+
+
 class Chunk:
-    """The windows of a chunk of texts: distinct labels sorted by (group, label), each with the least id that has it."""
+    """A chunk of texts in order of (id, text), and its windows."""
 
-    def __init__(self, ids, texts, window: int, plan: Plan):
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+    def __init__(self, ids, texts, window: int):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
         self.ids = [ids[i] for i in order]
         self.raw = _raw(texts[i] for i in order)
         self.words = ta.words(self.raw)
-        label, inside = self.words.runs(window)
+        self.label, inside = self.words.runs(window)
         self.places = np.flatnonzero(inside)
-        number = np.array([_LAST if i is None else i for i in self.ids], np.int64)
-        self.owner = number[self.words.doc()[self.places]]
-        grp, label = plan.group(self.words, window)[self.places], label[self.places]
-        rank = np.lexsort((label, grp))  # stable: of equal labels the least id first
-        g, x = grp[rank], label[rank]
-        new = np.ones(len(rank), bool)
-        new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
-        self.label, self.group, self.least = x[new], g[new], self.owner[rank][new]
-        self.entry = np.empty(len(rank), np.int64)
-        self.entry[rank] = np.cumsum(new) - 1
+        self.number = np.array([_LAST if i is None else i for i in self.ids], np.int64)
+
+
+# --- which windows may repeat ---------------------------------------------------------------------------------------
+
+
+def _prints(c: Chunk, window: int, plan: Plan):
+    """Groups and fingerprints of the different windows, the number of each place's, and how often each is there."""
+    group, mark = plan.group(c.words, window)[c.places], c.label[c.places] >> plan.shift
+    order, first, entry = _distinct(group, mark)
+    return group[order][first], mark[order][first], entry, np.bincount(entry, minlength=len(first))
 
 
 def _send(window: int, plan, id_col: str, text_col: str):
     def of(t: pa.Table) -> pa.Table:
-        chunk = t.column("chunk")[0].as_py()
-        c = Chunk(t.column(id_col).to_pylist(), t.column(text_col).to_pylist(), window, plan.value)
-        cuts = np.flatnonzero(np.diff(c.group, prepend=-1))
-        out = {"grp": [], "chunk": [], "labels": [], "ids": [], "who": []}
-        for a, b in zip(cuts, [*cuts[1:], len(c.group)], strict=True):
-            ids, who = np.unique(c.least[a:b], return_inverse=True)
-            for n, v in (("grp", int(c.group[a])), ("chunk", chunk), ("labels", ta.pack_sorted(c.label[a:b])), ("ids", ta.pack(ids)), ("who", ta.pack(who.astype(np.uint32)))):
-                out[n].append(v)
-        return pa.table({n: pa.array(v, pa.int64() if n in ("grp", "chunk") else pa.binary()) for n, v in out.items()})
+        c = Chunk(t.column(id_col).to_pylist(), t.column(text_col).to_pylist(), window)
+        group, mark, _, _ = _prints(c, window, plan.value)
+        parts = _by_group(group)
+        return pa.table({"grp": pa.array([g for g, _, _ in parts], pa.int64()), "chunk": pa.array([t.column("chunk")[0].as_py()] * len(parts), pa.int64()), "data": pa.array([ta.pack_sorted(mark[a:b]) for _, a, b in parts], pa.binary())})
 
     return of
 
 
-def _nodes(t: pa.Table) -> pa.Table:
-    """Of a group of windows: for each chunk, which labels an earlier document owns, as bits."""
-    rows = t.to_pylist()
-    label = [ta.unpack_sorted(r["labels"], np.uint64) for r in rows]
-    least = [ta.unpack(r["ids"], np.int64)[ta.unpack(r["who"], np.uint32)] for r in rows]
-    sizes = [len(x) for x in label]
-    x, y = np.concatenate(label), np.concatenate(least)
+def _seen(t: pa.Table) -> pa.Table:
+    """Of a group's fingerprints: which several chunks have."""
+    marks = [ta.unpack_sorted(b, np.uint64) for b in t.column("data").to_pylist()]
+    x = np.concatenate(marks)
     order = np.argsort(x, kind="stable")
-    cuts = np.flatnonzero(np.diff(x[order], prepend=~x[order[:1]]))
-    owner = np.minimum.reduceat(y[order], cuts)
-    later = np.empty(len(x), bool)
-    later[order] = y[order] > np.repeat(owner, np.diff(np.append(cuts, len(x))))
-    bits = [ta.pack(np.packbits(b)) for b in np.split(later, np.cumsum(sizes)[:-1])]
-    return pa.table({"grp": t.column("grp"), "chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bits": pa.array(bits, pa.binary())})
+    same = x[order][1:] == x[order][:-1]
+    flags = np.zeros(len(x), bool)
+    flags[order[1:][same]] = True
+    flags[order[:-1][same]] = True
+    return _answers(t, flags, [len(m) for m in marks])
+
+
+# --- which of them have different words before them -------------------------------------------------------------------
+
+
+class Runs:
+    """Runs of repeated windows of a chunk: hashes of their words, and the text, place and predecessor of each run."""
+
+    KINDS = {"doc": np.uint32, "id": np.int64, "start": np.uint32, "before": np.uint32, "size": np.uint32, "hash": np.uint64}
+
+    def __init__(self, **arrays: np.ndarray):
+        self.doc, self.id, self.start, self.before, self.size, self.hash = (arrays[k] for k in self.KINDS)
+
+    @classmethod
+    def of(cls, c: Chunk, window: int, often: np.ndarray) -> Runs:
+        p = c.places[often]
+        doc = np.searchsorted(c.words.first, p, "right") - 1
+        new = np.ones(len(p), bool)
+        new[1:] = (np.diff(p) != 1) | (doc[1:] != doc[:-1])
+        a = np.flatnonzero(new)
+        begin, size, doc = p[a], np.diff(np.append(a, len(p))) + window - 1, doc[a]
+        start = begin - c.words.first[doc]
+        before = np.where(start == 0, START, np.maximum(c.words.hash[np.maximum(begin - 1, 0)] >> np.uint64(32), 2))
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return cls(doc=doc, id=c.number[doc], start=start, before=before, size=size, hash=c.words.hash[at])
+
+    def pack(self) -> list[bytes]:
+        return [ta.pack(getattr(self, n).astype(k)) for n, k in self.KINDS.items()]
+
+    @classmethod
+    def unpack(cls, r: dict) -> Runs:
+        return cls(**{n: ta.unpack(r[n], k) for n, k in cls.KINDS.items()})
+
+    def windows(self, window: int, plan: Plan):
+        """Of all windows: run, place of the first word, group, label and what stands before."""
+        first = np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])
+        w = ta.Words(self.hash, first)
+        label, inside = w.runs(window)
+        at = np.flatnonzero(inside)
+        run = np.searchsorted(first, at, "right") - 1
+        before = np.where(at == first[run], self.before[run], np.maximum(self.hash[np.maximum(at - 1, 0)] >> np.uint64(32), 2)).astype(np.uint32)
+        return first, run, at, plan.group(w, window)[at], label[at], before
+
+
+def _joined(code: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """What stands before each of several windows together."""
+    if not len(first):
+        return np.zeros(0, np.uint32)
+    c = code[order]
+    lo, hi, n = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first), np.diff(np.append(first, len(c)))
+    return np.where((n == 1) | ((lo == hi) & (lo > START)), lo, MANY).astype(np.uint32)
+
 
+RUNS = "grp long, chunk long, labels binary, codes binary, doc binary, id binary, start binary, before binary, size binary, hash binary"
+_RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
+
+
+def _contexts(window: int, plan, id_col: str, text_col: str):
+    """Rows of labels and of what stands before them, for each group; and one with the runs (no group)."""
 
-def _take(window: int, plan, id_col: str, text_col: str):
     def of(docs: pa.Table, found: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({id_col: pa.array([], pa.int64()), "text": pa.array([], pa.string()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64())})
-        c = Chunk(docs.column(id_col).to_pylist(), docs.column(text_col).to_pylist(), window, plan.value)
-        later = np.zeros(len(c.label), bool)
-        for g, b in zip(found.column("grp").to_pylist(), found.column("bits").to_pylist(), strict=True):
-            a, z = np.searchsorted(c.group, g), np.searchsorted(c.group, g, "right")
-            later[a:z] = np.unpackbits(ta.unpack(b, np.uint8), count=z - a)
-        gone = c.places[later[c.entry] | (c.owner > c.least[c.entry])]
-        edge = np.zeros(len(c.words.hash) + 1, np.int64)
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + window, -1)
-        kept = np.cumsum(edge)[:-1] <= 0
-        first, texts, removed = c.words.first, [], []
-        for i, raw in enumerate(c.raw):
-            mask = kept[first[i] : first[i + 1]]
-            removed.append(int(len(mask) - mask.sum()))
-            texts.append(b" ".join(compress(raw.split(), mask.tolist()) if removed[-1] else raw.split()))
-        return pa.table({id_col: pa.array(c.ids, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(c.words.counts(), pa.int64()), "n_removed": pa.array(removed, pa.int64())})
+        out = []
+        if docs.num_rows:
+            chunk = docs.column("chunk")[0].as_py()
+            c = Chunk(docs.column(id_col).to_pylist(), docs.column(text_col).to_pylist(), window)
+            group, _, entry, n = _prints(c, window, plan.value)
+            often = (_bits(found.to_pylist(), group) | (n > 1))[entry]
+            if often.any():
+                runs = Runs.of(c, window, often)
+                _, _, _, group, label, before = runs.windows(window, plan.value)
+                order, first, _ = _distinct(group, label)
+                code, group, label = _joined(before, first, order), group[order][first], label[order][first]
+                out = [(g, chunk, ta.pack_sorted(label[a:b]), ta.pack(code[a:b]), *[None] * 6) for g, a, b in _by_group(group)]
+                out.append((None, chunk, None, None, *runs.pack()))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=_RUN_NAMES)
+
+    return of
+
+
+def _diverse(t: pa.Table) -> pa.Table:
+    """Of a group's labels: which repeat after different words."""
+    labels = [ta.unpack_sorted(b, np.uint64) for b in t.column("labels").to_pylist()]
+    code = np.concatenate([ta.unpack(b, np.uint32) for b in t.column("codes").to_pylist()])
+    x = np.concatenate(labels)
+    order, first, entry = _distinct(np.zeros(len(x), np.int64), x)
+    return _answers(t, (_joined(code, first, order) == MANY)[entry], [len(a) for a in labels])
+
+
+# --- trees ------------------------------------------------------------------------------------------------------------
+
+
+def shared(a: bytes, b: bytes) -> int:
+    """Words that two suffixes begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n // WORD_BYTES
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax()) // WORD_BYTES
+
+
+SUFFIXES = {"lcp": np.uint32, "size": np.uint32, "code": np.uint32, "owner": np.int64, "times": np.uint32, "doc": np.uint32, "id": np.int64, "start": np.uint32}
+SENT = "grp long, chunk long, words binary, " + ", ".join(f"{n} binary" for n in SUFFIXES)
+
+
+def _suffixes(window: int, plan):
+    """A chunk's leaves for each group: different suffixes, sorted and front-coded, with all places of each."""
+
+    def of(runs: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        if runs.num_rows:
+            chunk, r = runs.column("chunk")[0].as_py(), Runs.unpack(runs.to_pylist()[0])
+            first, run, at, group, label, before = r.windows(window, plan.value)
+            order, begin, entry = _distinct(group, label)
+            leaf = np.flatnonzero(_bits(found.to_pylist(), group[order][begin])[entry])
+            leaf = leaf[np.argsort(group[leaf], kind="stable")]
+            buf = np.ascontiguousarray(r.hash.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+            squeeze = zstandard.ZstdCompressor(level=3)
+            for g, a, b in _by_group(group[leaf]):
+                some = leaf[a:b]
+                text = [buf[x:y] for x, y in zip((at[some] * WORD_BYTES).tolist(), (first[run[some] + 1] * WORD_BYTES).tolist(), strict=True)]
+                rank = sorted(range(len(some)), key=text.__getitem__)
+                new = [n for n, i in enumerate(rank) if not n or text[i] != text[rank[n - 1]]]
+                heads = [text[rank[n]] for n in new]
+                lcp = [0, *(shared(x, y) for x, y in zip(heads[:-1], heads[1:], strict=True))]
+                places, cuts = some[rank], np.array(new)
+                which = run[places]
+                got = {
+                    "lcp": np.array(lcp), "size": np.array([len(h) // WORD_BYTES for h in heads]), "code": _joined(before[places], cuts, np.arange(len(places))), "owner": np.minimum.reduceat(r.id[which], cuts), "times": np.diff(np.append(cuts, len(places))),
+                    "doc": r.doc[which], "id": r.id[which], "start": r.start[which] + (at[places] - first[which]),
+                }
+                rest = squeeze.compress(b"".join(h[n * WORD_BYTES :] for h, n in zip(heads, lcp, strict=True)))
+                out.append((g, chunk, rest, *(ta.pack(got[n].astype(k)) for n, k in SUFFIXES.items())))
+        names = [x.split()[0] for x in SENT.split(", ")]
+        return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names=names)
 
     return of
 
 
+class Tree:
+    """The subtree over suffixes: inner nodes with their number of words, least owner and whether words before differ."""
+
+    def __init__(self, suffixes: list[bytes], code: np.ndarray, owner: np.ndarray, times: np.ndarray, window: int):
+        rank = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+        self.depth, self.owner, self.many, self.parent, self.times = [], [], [], [], []
+        self.leaf = np.zeros(len(suffixes), np.int64)  # the node that each suffix ends in
+        stack: list[list] = []  # open nodes from the root down: [depth, owner, code, times, children]
+
+        def close() -> int:
+            depth, low, before, n, children = stack.pop()
+            self.depth.append(depth)
+            self.owner.append(low)
+            self.many.append(before == MANY and n > 1)
+            self.times.append(n)
+            self.parent.append(-1)
+            me = len(self.depth) - 1
+            for kind, child in children:
+                if kind:
+                    self.leaf[child] = me
+                else:
+                    self.parent[child] = me
+            return me
+
+        def add(top: list, low: int, before: int, n: int, child: tuple[int, int]) -> None:
+            top[1] = min(top[1], low)
+            top[2] = before if not top[3] else top[2] if top[2] == before and before > START else MANY
+            top[3] += n
+            top[4].append(child)
+
+        last = b""
+        for i in rank:
+            s = suffixes[i]
+            keep = shared(last, s) if stack else 0
+            while stack and stack[-1][0] > keep:
+                _, low, before, n, _ = stack[-1]
+                above = stack[-2][0] if len(stack) > 1 else 0
+                node = close()
+                if keep > above:
+                    stack.append([keep, _LAST, MANY, 0, []])
+                if stack:
+                    add(stack[-1], low, before, n, (0, node))
+            if not stack or stack[-1][0] < len(s) // WORD_BYTES:
+                stack.append([len(s) // WORD_BYTES, _LAST, MANY, 0, []])
+            add(stack[-1], int(owner[i]), int(code[i]), int(times[i]), (1, i))
+            last = s
+        while stack:
+            _, low, before, n, _ = stack[-1]
+            node = close()
+            if stack:
+                add(stack[-1], low, before, n, (0, node))
+        self.window = window
+
+    def steps(self, suffix: int) -> list[tuple[int, int]]:
+        """(words, least owner) of the maximal repeats that a suffix begins with, the longest of each owner, longest first."""
+        out, node = [], int(self.leaf[suffix])
+        while node >= 0:
+            if self.many[node] and self.depth[node] >= self.window and (not out or self.owner[node] < out[-1][1]):
+                out.append((self.depth[node], self.owner[node]))
+            node = self.parent[node]
+        return out
+
+
+FOUND = {"doc": np.uint32, "start": np.uint32, "length": np.uint32, "owner": np.int64}
+REPEATS = "grp long, chunk long, " + ", ".join(f"{n} binary" for n in FOUND)
+
+
+def _trees(window: int):
+    """Of a group's suffixes: the maximal repeats of an earlier owner at each of their places."""
+
+    def of(t: pa.Table) -> pa.Table:
+        text, parts, out = [], [], []
+        for r in t.to_pylist():
+            got = {n: ta.unpack(r[n], k) for n, k in SUFFIXES.items()}
+            words, last, place = zstandard.ZstdDecompressor().decompress(r["words"]), b"", 0
+            for lcp, size in zip((got["lcp"] * WORD_BYTES).tolist(), (got["size"] * WORD_BYTES).tolist(), strict=True):
+                last = last[:lcp] + words[place : place + size - lcp]
+                place += size - lcp
+                text.append(last)
+            parts.append(got)
+        tree = Tree(text, *(np.concatenate([p[n] for p in parts]) for n in ("code", "owner", "times")), window)
+        base = 0
+        for r, p in zip(t.select(["grp", "chunk"]).to_pylist(), parts, strict=True):
+            steps = [tree.steps(base + i) for i in range(len(p["lcp"]))]
+            base += len(steps)
+            n = np.array([len(s) for s in steps])
+            flat = np.array([x for s in steps for x in s], np.int64).reshape(-1, 2)
+            entry = np.repeat(np.arange(len(steps)), p["times"])
+            many = n[entry]
+            occ = np.repeat(np.arange(len(entry)), many)
+            step = np.arange(len(occ)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(n) - n)[entry[occ]]
+            earlier = flat[step, 1] < p["id"][occ]
+            occ, step = occ[earlier], step[earlier]
+            if len(occ):
+                got = {"doc": p["doc"][occ], "start": p["start"][occ], "length": flat[step, 0], "owner": flat[step, 1]}
+                out.append((r["grp"], r["chunk"], *(ta.pack(got[m].astype(k)) for m, k in FOUND.items())))
+        return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(2 + len(FOUND))], names=[x.split()[0] for x in REPEATS.split(", ")])
+
+    return of
+
+
+def _spans(found: pa.Table) -> dict[str, np.ndarray]:
+    rows = found.to_pylist()
+    return {n: np.concatenate([ta.unpack(r[n], k) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64) for n, k in FOUND.items()}
+
+
+def _take(window: int, id_col: str, text_col: str):
+    def of(docs: pa.Table, found: pa.Table) -> pa.Table:
+        ids, texts, total, removed = [], [], [], []
+        if docs.num_rows:
+            c, s = Chunk(docs.column(id_col).to_pylist(), docs.column(text_col).to_pylist(), window), _spans(found)
+            first, edge = c.words.first, np.zeros(len(c.words.hash) + 1, np.int64)
+            begin = first[s["doc"]] + s["start"]
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + s["length"], -1)
+            kept, ids, total = np.cumsum(edge)[:-1] <= 0, c.ids, c.words.counts()
+            for i, raw in enumerate(c.raw):
+                mask = kept[first[i] : first[i + 1]]
+                removed.append(int(len(mask) - mask.sum()))
+                texts.append(b" ".join(compress(raw.split(), mask.tolist()) if removed[-1] else raw.split()))
+        return pa.table({id_col: pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64())})
+
+    return of
+
+
+def _list(window: int, id_col: str, text_col: str):
+    def of(docs: pa.Table, found: pa.Table) -> pa.Table:
+        s = _spans(found)
+        c = Chunk(docs.column(id_col).to_pylist(), docs.column(text_col).to_pylist(), window) if docs.num_rows else None
+        ids = [c.ids[i] for i in s["doc"].tolist()] if c else []
+        return pa.table({id_col: pa.array(ids, pa.int64()), **{n: pa.array(s[n] if c else [], pa.int64()) for n in ("start", "length", "owner")}})
+
+    return of
+
+
+class Found:
+    """Documents by chunk, and the maximal repeats in each."""
+
+    def __init__(self, df: DataFrame, window: int, id_col: str, text_col: str, chunk_bytes: int, group_windows: int):
+        spark = df.sparkSession
+        small_arrow_batches(spark)
+        docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+        stats = docs.select(text_col).mapInArrow(_statistics(window, text_col), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # a fixed number of cells
+        counts, size = np.zeros(len(LENGTHS) * CELLS * FINE, np.int64), 0
+        for r in stats:
+            if r["place"] < 0:
+                size = r["n"]
+            else:
+                counts[r["place"]] = r["n"]
+        counts = counts.reshape(len(LENGTHS), CELLS, FINE)
+        cores = spark.sparkContext.defaultParallelism
+        plan = spark.sparkContext.broadcast(Plan(counts, int(min(group_windows, max(counts[0].sum() // (3 * cores), 1000)))))
+        chunks = max(cores, int(size // chunk_bytes) + 1)
+        self.docs = docs.withColumn("chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)))
+        self.repeats = cut(self._repeats(plan, window, id_col, text_col))
+        release(spark)
+
+    def _repeats(self, plan, window: int, id_col: str, text_col: str) -> DataFrame:
+        sent = self.docs.groupBy("chunk").applyInArrow(_send(window, plan, id_col, text_col), ANSWER)
+        seen = sent.groupBy("grp").applyInArrow(_seen, ANSWER)
+        runs = cut(self.docs.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(_contexts(window, plan, id_col, text_col), RUNS))
+        del sent, seen
+        release(self.docs.sparkSession)  # the shuffled texts and fingerprints
+        diverse = runs.filter("grp is not null").select("grp", "chunk", "labels", "codes").groupBy("grp").applyInArrow(_diverse, ANSWER)
+        own = runs.filter("grp is null").select("chunk", *Runs.KINDS)
+        leaves = own.groupBy("chunk").cogroup(diverse.groupBy("chunk")).applyInArrow(_suffixes(window, plan), SENT)
+        return leaves.groupBy("grp").applyInArrow(_trees(window), REPEATS)
+
+    def with_docs(self, function, schema: str) -> DataFrame:
+        return self.docs.groupBy("chunk").cogroup(self.repeats.groupBy("chunk")).applyInArrow(function, schema)
+
+
 def drop_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, group_windows: int = 1 << 20) -> DataFrame:
     """(id, text, n_words, n_removed): the kept words joined by one space, after removing every word in a window of
     that many words which a document with a smaller id has, too. chunk_bytes and group_windows bound a task's memory."""
-    spark = df.sparkSession
-    small_arrow_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    stats = docs.select(text_col).mapInArrow(_statistics(window, text_col), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # a fixed number of cells
-    counts, size = np.zeros(len(LENGTHS) * CELLS * FINE, np.int64), 0
-    for r in stats:
-        if r["place"] < 0:
-            size = r["n"]
-        else:
-            counts[r["place"]] = r["n"]
-    counts = counts.reshape(len(LENGTHS), CELLS, FINE)
-    cores = spark.sparkContext.defaultParallelism
-    plan = Plan(counts, int(min(group_windows, max(counts[0].sum() // (3 * cores), 1000))))
-    shared = spark.sparkContext.broadcast(plan)
-    chunks = max(cores, int(size // chunk_bytes) + 1)
-    parted = docs.withColumn("chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)))
-    sent = parted.groupBy("chunk").applyInArrow(_send(window, shared, id_col, text_col), "grp long, chunk long, labels binary, ids binary, who binary")
-    found = sent.groupBy("grp").applyInArrow(_nodes, "grp long, chunk long, bits binary")
-    out = parted.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_take(window, shared, id_col, text_col), f"{id_col} long, text string, n_words long, n_removed long")
-    return out
+    return Found(df, window, id_col, text_col, chunk_bytes, group_windows).with_docs(_take(window, id_col, text_col), f"{id_col} long, text string, n_words long, n_removed long")
+
+
+def maximal_repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, group_windows: int = 1 << 20) -> DataFrame:
+    """(id, start, length, owner): where in a document maximal repeats of `window` words or more begin that a document
+    with a smaller id has, too; owner is the least id. Of the repeats that begin at a place, the longest of each owner."""
+    return Found(df, window, id_col, text_col, chunk_bytes, group_windows).with_docs(_list(window, id_col, text_col), f"{id_col} long, start long, length long, owner long")
