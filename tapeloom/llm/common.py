@@ -38,6 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder, and that folder. Unlike a checkpoint it holds on to nothing before it."""
+    spark = df.sparkSession
+    folder = new_folder(spark, kind)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the cleaner remove the files of shuffles and checkpoints that no DataFrame refers to any more."""
     gc.collect()

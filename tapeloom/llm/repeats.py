@@ -13,8 +13,8 @@ Only suffixes that can be leaves below a maximal repeat get into a tree; two sie
 * of those, 64-bit labels and the word before tell which have different words before them. If all occurrences follow
   the same word, the repeat begins further left, and the whole subtree is left out.
 
-A chunk sends each fingerprint, label and different suffix once, suffixes sorted and front-coded; a passage that is
-common to all texts is an entry a chunk in its tree. Suffixes are compared by 40 bits a word below equal labels.
+A chunk sends each fingerprint and label once, a bundle of chunks each different suffix, sorted and front-coded; a passage that is
+common to all texts is an entry a bundle in its tree. Suffixes are compared by 40 bits a word below equal labels.
 
 Defined results: null texts have no words; a null id counts as later than all others; rows with equal ids do not take
 words from each other; texts shorter than the window stay whole; one very long text is a chunk of its own and its runs
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_arrays as ta
-from .common import cut, release, small_arrow_batches
+from .common import discard, release, small_arrow_batches, stored
 
 #: First-word cells of the prefix statistics, finer cells below each, and prefix lengths tried, in words.
 CELLS, FINE = 512, 32
@@ -42,6 +42,8 @@ LENGTHS = (1, 2, 4)
 SPARE_BITS = 8
 #: Bytes of a word's hash in a suffix.
 WORD_BYTES = 5
+#: Words of repeated runs that are taken together when leaves are found, and for one tree.
+BUNDLE, TREE = 2 << 20, 1 << 20
 #: What stands before a window: different words, the beginning of one text, or else 32 bits of the word's hash.
 MANY, START = 0, 1
 _LAST = np.iinfo(np.int64).max
@@ -226,7 +228,7 @@ def _joined(code: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarra
     return np.where((n == 1) | ((lo == hi) & (lo > START)), lo, MANY).astype(np.uint32)
 
 
-RUNS = "grp long, chunk long, labels binary, codes binary, doc binary, id binary, start binary, before binary, size binary, hash binary"
+RUNS = "grp long, chunk long, n_words long, labels binary, codes binary, doc binary, id binary, start binary, before binary, size binary, hash binary"
 _RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
 
 
@@ -245,9 +247,9 @@ def _contexts(window: int, plan, id_col: str, text_col: str):
                 _, _, _, group, label, before = runs.windows(window, plan.value)
                 order, first, _ = _distinct(group, label)
                 code, group, label = _joined(before, first, order), group[order][first], label[order][first]
-                out = [(g, chunk, ta.pack_sorted(label[a:b]), ta.pack(code[a:b]), *[None] * 6) for g, a, b in _by_group(group)]
-                out.append((None, chunk, None, None, *runs.pack()))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+                out = [(g, chunk, None, ta.pack_sorted(label[a:b]), ta.pack(code[a:b]), *[None] * 6) for g, a, b in _by_group(group)]
+                out.append((None, chunk, len(runs.hash), None, None, *runs.pack()))
+        kinds = [*[pa.int64()] * 3, *[pa.binary()] * 8]
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=_RUN_NAMES)
 
     return of
@@ -273,40 +275,51 @@ def shared(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax()) // WORD_BYTES
 
 
-SUFFIXES = {"lcp": np.uint32, "size": np.uint32, "code": np.uint32, "owner": np.int64, "times": np.uint32, "doc": np.uint32, "id": np.int64, "start": np.uint32}
-SENT = "grp long, chunk long, words binary, " + ", ".join(f"{n} binary" for n in SUFFIXES)
+SUFFIXES = {"lcp": np.uint32, "size": np.uint32, "code": np.uint32, "owner": np.int64, "times": np.uint32, "chunk": np.int64, "doc": np.uint32, "id": np.int64, "start": np.uint32}
+SENT = "grp long, words binary, " + ", ".join(f"{n} binary" for n in SUFFIXES)
 
 
-def _suffixes(window: int, plan):
-    """A chunk's leaves for each group: different suffixes, sorted and front-coded, with all places of each."""
+def _suffixes(window: int, plan, groups: int):
+    """The leaves of a bundle of chunks for each group: different suffixes, sorted and front-coded, with all places of each."""
+
+    def leaves(r: dict, answers: list[dict], base: int) -> dict[str, np.ndarray]:
+        runs = Runs.unpack(r)
+        first, run, at, group, label, before = runs.windows(window, plan.value)
+        order, begin, entry = _distinct(group, label)
+        k = np.flatnonzero(_bits(answers, group[order][begin])[entry])
+        which = run[k]
+        got = {"from": base + at[k], "to": base + first[which + 1], "group": group[k] * groups // plan.value.groups, "code": before[k], "chunk": np.full(len(k), r["chunk"])}
+        return got | {"doc": runs.doc[which], "id": runs.id[which], "start": runs.start[which] + (at[k] - first[which])}
 
     def of(runs: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        if runs.num_rows:
-            chunk, r = runs.column("chunk")[0].as_py(), Runs.unpack(runs.to_pylist()[0])
-            first, run, at, group, label, before = r.windows(window, plan.value)
-            order, begin, entry = _distinct(group, label)
-            leaf = np.flatnonzero(_bits(found.to_pylist(), group[order][begin])[entry])
-            leaf = leaf[np.argsort(group[leaf], kind="stable")]
-            buf = np.ascontiguousarray(r.hash.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
-            squeeze = zstandard.ZstdCompressor(level=3)
-            for g, a, b in _by_group(group[leaf]):
-                some = leaf[a:b]
-                text = [buf[x:y] for x, y in zip((at[some] * WORD_BYTES).tolist(), (first[run[some] + 1] * WORD_BYTES).tolist(), strict=True)]
-                rank = sorted(range(len(some)), key=text.__getitem__)
+        out, answers, base, parts, bufs = [], {}, 0, [], []
+        for r in found.to_pylist():
+            answers.setdefault(r["chunk"], []).append(r)
+        for r in sorted(runs.to_pylist(), key=lambda r: r["chunk"]):
+            parts.append(leaves(r, answers.get(r["chunk"], []), base))
+            h = ta.unpack(r["hash"], np.uint64)
+            bufs.append(np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes())
+            base += len(h)
+        if parts:
+            buf = b"".join(bufs)
+            x = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+            by = np.argsort(x["group"], kind="stable")
+            x = {n: v[by] for n, v in x.items()}
+            squeeze = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=24))
+            for g, a, b in _by_group(x["group"]):
+                text = [buf[i:j] for i, j in zip((x["from"][a:b] * WORD_BYTES).tolist(), (x["to"][a:b] * WORD_BYTES).tolist(), strict=True)]
+                rank = sorted(range(len(text)), key=text.__getitem__)
                 new = [n for n, i in enumerate(rank) if not n or text[i] != text[rank[n - 1]]]
                 heads = [text[rank[n]] for n in new]
-                lcp = [0, *(shared(x, y) for x, y in zip(heads[:-1], heads[1:], strict=True))]
-                places, cuts = some[rank], np.array(new)
-                which = run[places]
-                got = {
-                    "lcp": np.array(lcp), "size": np.array([len(h) // WORD_BYTES for h in heads]), "code": _joined(before[places], cuts, np.arange(len(places))), "owner": np.minimum.reduceat(r.id[which], cuts), "times": np.diff(np.append(cuts, len(places))),
-                    "doc": r.doc[which], "id": r.id[which], "start": r.start[which] + (at[places] - first[which]),
+                lcp = [0, *(shared(i, j) for i, j in zip(heads[:-1], heads[1:], strict=True))]
+                cuts, rank = np.array(new), np.array(rank) + a
+                got = {n: x[n][rank] for n in ("chunk", "doc", "id", "start")} | {
+                    "lcp": np.array(lcp), "size": np.array([len(h) // WORD_BYTES for h in heads]), "code": _joined(x["code"][rank], cuts, np.arange(b - a)), "owner": np.minimum.reduceat(x["id"][rank], cuts), "times": np.diff(np.append(cuts, b - a)),
                 }
                 rest = squeeze.compress(b"".join(h[n * WORD_BYTES :] for h, n in zip(heads, lcp, strict=True)))
-                out.append((g, chunk, rest, *(ta.pack(got[n].astype(k)) for n, k in SUFFIXES.items())))
-        names = [x.split()[0] for x in SENT.split(", ")]
-        return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names=names)
+                out.append((g, rest, *(ta.pack(got[n].astype(k)) for n, k in SUFFIXES.items())))
+        names = [n.split()[0] for n in SENT.split(", ")]
+        return pa.table([pa.array([r[i] for r in out], pa.binary() if i else pa.int64()) for i in range(len(names))], names=names)
 
     return of
 
@@ -375,7 +388,7 @@ class Tree:
 
 
 FOUND = {"doc": np.uint32, "start": np.uint32, "length": np.uint32, "owner": np.int64}
-REPEATS = "grp long, chunk long, " + ", ".join(f"{n} binary" for n in FOUND)
+REPEATS = "chunk long, " + ", ".join(f"{n} binary" for n in FOUND)
 
 
 def _trees(window: int):
@@ -392,22 +405,25 @@ def _trees(window: int):
                 text.append(last)
             parts.append(got)
         tree = Tree(text, *(np.concatenate([p[n] for p in parts]) for n in ("code", "owner", "times")), window)
-        base = 0
-        for r, p in zip(t.select(["grp", "chunk"]).to_pylist(), parts, strict=True):
+        base, every = 0, []
+        for p in parts:
             steps = [tree.steps(base + i) for i in range(len(p["lcp"]))]
             base += len(steps)
             n = np.array([len(s) for s in steps])
             flat = np.array([x for s in steps for x in s], np.int64).reshape(-1, 2)
             entry = np.repeat(np.arange(len(steps)), p["times"])
             many = n[entry]
-            occ = np.repeat(np.arange(len(entry)), many)
-            step = np.arange(len(occ)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(n) - n)[entry[occ]]
-            earlier = flat[step, 1] < p["id"][occ]
-            occ, step = occ[earlier], step[earlier]
-            if len(occ):
-                got = {"doc": p["doc"][occ], "start": p["start"][occ], "length": flat[step, 0], "owner": flat[step, 1]}
-                out.append((r["grp"], r["chunk"], *(ta.pack(got[m].astype(k)) for m, k in FOUND.items())))
-        return pa.table([pa.array([x[i] for x in out], pa.int64() if i < 2 else pa.binary()) for i in range(2 + len(FOUND))], names=[x.split()[0] for x in REPEATS.split(", ")])
+            place = np.repeat(np.arange(len(entry)), many)
+            step = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(n) - n)[entry[place]]
+            earlier = flat[step, 1] < p["id"][place]
+            place, step = place[earlier], step[earlier]
+            every.append({"chunk": p["chunk"][place], "doc": p["doc"][place], "start": p["start"][place], "length": flat[step, 0], "owner": flat[step, 1]})
+        got = {n: np.concatenate([e[n] for e in every]) for n in every[0]}
+        by = np.argsort(got["chunk"], kind="stable")
+        got = {n: v[by] for n, v in got.items()}
+        for chunk, a, b in _by_group(got["chunk"]):
+            out.append((chunk, *(ta.pack(got[m][a:b].astype(k)) for m, k in FOUND.items())))
+        return pa.table([pa.array([x[i] for x in out], pa.binary() if i else pa.int64()) for i in range(1 + len(FOUND))], names=[x.split()[0] for x in REPEATS.split(", ")])
 
     return of
 
@@ -465,19 +481,27 @@ class Found:
         plan = spark.sparkContext.broadcast(Plan(counts, int(min(group_windows, max(counts[0].sum() // (3 * cores), 1000)))))
         chunks = max(cores, int(size // chunk_bytes) + 1)
         self.docs = docs.withColumn("chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)))
-        self.repeats = cut(self._repeats(plan, window, id_col, text_col))
-        release(spark)
+        self.repeats = self._repeats(plan, window, id_col, text_col)
 
     def _repeats(self, plan, window: int, id_col: str, text_col: str) -> DataFrame:
+        spark = self.docs.sparkSession
         sent = self.docs.groupBy("chunk").applyInArrow(_send(window, plan, id_col, text_col), ANSWER)
         seen = sent.groupBy("grp").applyInArrow(_seen, ANSWER)
-        runs = cut(self.docs.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(_contexts(window, plan, id_col, text_col), RUNS))
+        runs, folder = stored(self.docs.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(_contexts(window, plan, id_col, text_col), RUNS), "runs")
         del sent, seen
-        release(self.docs.sparkSession)  # the shuffled texts and fingerprints
+        release(spark)  # the shuffled texts and fingerprints
+        # Leaves are fewer than windows: neighbouring groups share a tree, and chunks are taken together in bundles.
+        words, cores = runs.agg(F.sum("n_words").alias("n")).first()["n"] or 0, spark.sparkContext.defaultParallelism
+        bundles, groups = max(cores, words // BUNDLE + 1), min(plan.value.groups, max(2 * cores, words // TREE + 1))
+        bundle = F.pmod("chunk", F.lit(bundles)).alias("bundle")
         diverse = runs.filter("grp is not null").select("grp", "chunk", "labels", "codes").groupBy("grp").applyInArrow(_diverse, ANSWER)
-        own = runs.filter("grp is null").select("chunk", *Runs.KINDS)
-        leaves = own.groupBy("chunk").cogroup(diverse.groupBy("chunk")).applyInArrow(_suffixes(window, plan), SENT)
-        return leaves.groupBy("grp").applyInArrow(_trees(window), REPEATS)
+        own = runs.filter("grp is null").select(bundle, "chunk", *Runs.KINDS)
+        leaves = own.groupBy("bundle").cogroup(diverse.select(bundle, "grp", "chunk", "data").groupBy("bundle")).applyInArrow(_suffixes(window, plan, groups), SENT)
+        found, self.folder = stored(leaves.groupBy("grp").applyInArrow(_trees(window), REPEATS), "repeats")
+        del diverse, own, leaves, runs
+        discard(spark, folder)
+        release(spark)
+        return found
 
     def with_docs(self, function, schema: str) -> DataFrame:
         return self.docs.groupBy("chunk").cogroup(self.repeats.groupBy("chunk")).applyInArrow(function, schema)
