@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -53,8 +54,10 @@ def discard(spark: SparkSession, folder: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets the cleaner remove the files of shuffles and checkpoints that no DataFrame refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the gateway lets go of Java objects a little after Python has
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def small_arrow_batches(spark: SparkSession, mb: int = 8) -> None:
