@@ -7,10 +7,13 @@ far apart their parts stand. A text whose terms' largest impacts sum to less can
 for all texts of a chunk at once, and block-max WAND runs on the rest. What it retrieves is verified on the whole text: how much of the item's question
 and of its answer (five-word shingles) stands there.
 
-The index of one block of items (bounded bytes) is broadcast at a time; more items take more rounds over the texts.
+The index of one block of items (bounded bytes) is broadcast at a time; more items take more rounds over the texts. How
+many segments there are, how long they are and how many have a term is counted over all items first, so that scores do
+not depend on the blocks.
 
 Defined results: null and empty texts and items match nothing; repeated rows each get their matches; an item with
-fewer than three words counts as one term; extra columns are ignored; empty tables give an empty result.
+fewer than three words counts as one term; items with equal texts are found alike, each with its own id; texts of any
+length are one query; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -65,6 +68,29 @@ def part_of(text: str) -> Part:
     return Part(_runs(h, SHINGLE), max(1, min(SHINGLE, len(h))))
 
 
+def segments_of(text: str | None, segment: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(words a term, different terms, how often) of each segment of an item."""
+    words, out = _hash(text or ""), []
+    for s in range(0, len(words), segment):
+        part = words[s : s + segment]
+        if s and len(part) < TERM:
+            continue
+        k = min(TERM, len(part))
+        h, inside = ta.Words(part, np.array([0, len(part)])).runs(k)
+        out.append((k, *np.unique(h[inside], return_counts=True)))
+    return out
+
+
+@dataclass
+class Statistics:
+    """Over all items: segments, their mean number of terms, and in how many segments each of the terms stands."""
+
+    segments: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 @dataclass
 class Item:
     id: int
@@ -74,28 +100,25 @@ class Item:
 class Index:
     """Postings of segments by term, in blocks. impact: BM25 weight as a share of the segment's score for itself."""
 
-    def __init__(self, rows: list[tuple[int, str | None, str | None]], segment: int):
+    def __init__(self, rows: list[tuple[int, str | None, str | None]], segment: int, counted: Statistics | None = None):
+        """counted: what holds for all items, if these are some of them."""
         self.items, seg_item, seg_terms = [], [], []
         for i, text, answer in rows:
-            words = _hash(text or "")
-            if not len(words):
+            parts = segments_of(text, segment)
+            if not parts:
                 continue
             q, a = question_and_answer(text) if answer is None else (text, answer)
             self.items.append(Item(i, [part_of(text), part_of(q), part_of(a)]))
-            for s in range(0, len(words), segment):
-                part = words[s : s + segment]
-                if s and len(part) < TERM:
-                    continue
-                seg_item.append(len(self.items) - 1)
-                k = min(TERM, len(part))
-                h, inside = ta.Words(part, np.array([0, len(part)])).runs(k)
-                seg_terms.append((k, *np.unique(h[inside], return_counts=True)))
+            seg_item += [len(self.items) - 1] * len(parts)
+            seg_terms += parts
         self.seg_item = np.array(seg_item, np.int64)
         self.lengths = sorted({k for k, _, _ in seg_terms})
         n = len(seg_terms)
         every, df = np.unique(np.concatenate([t for _, t, _ in seg_terms]) if n else np.zeros(0, np.uint64), return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = np.mean([c.sum() for _, _, c in seg_terms]) if n else 1.0
+        total, mean = n, np.mean([c.sum() for _, _, c in seg_terms]) if n else 1.0
+        if counted is not None:
+            total, mean, df = counted.segments, counted.mean, counted.df[np.searchsorted(counted.terms, every)]
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         seg, term, impact = [], [], []
         for s, (_, t, c) in enumerate(seg_terms):
             at = np.searchsorted(every, t)
@@ -191,6 +214,22 @@ def _leaks(index, least: float, overlap: float, id_col: str, text_col: str):
     return of
 
 
+def _terms(segment: int):
+    """(block, term) once a segment, and a row without term for each segment's number of terms."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks, texts in ta.chunks(batches, ["block", "t"]):
+            block, term, size = [], [], []
+            for b, t in zip(blocks, texts, strict=True):
+                for _, terms, n in segments_of(t, segment):
+                    block += [b] * (len(terms) + 1)
+                    term += [*terms.view(np.int64).tolist(), None]
+                    size += [*[None] * len(terms), int(n.sum())]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "term": pa.array(term, pa.int64()), "size": pa.array(size, pa.int64())})
+
+    return of
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, segment: int = 96, least: float = 0.5, overlap: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """(id, item_id, score, overlap, question_overlap, answer_overlap): which rows hold which items.
 
@@ -204,10 +243,19 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"), answer.alias("a"))
     size = items.agg(F.sum(F.octet_length(F.coalesce("t", F.lit("")))).alias("n")).first()["n"] or 0
     blocks = int(size // block_bytes) + 1
+    items = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    terms = cut(items.select("block", "t").mapInArrow(_terms(segment), "block long, term long, size long"))
+    all_of = terms.agg(F.count("size").alias("n"), F.sum("size").alias("size")).first()
+    found = terms.filter("term is not null").groupBy("term", "block").agg(F.count("*").alias("n"))
+    df_of = cut(found.join(found.groupBy("term").agg(F.sum("n").alias("df")), "term").select("block", "term", "df"))
     out = spark.createDataFrame([], f"{id_col} long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # block_bytes or so
-        index = Index(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), segment)
+        rows = items.filter(F.col("block") == b).select("i", "t", "a").collect()  # block_bytes or so
+        mine = df_of.filter(F.col("block") == b).select("term", "df").toPandas()  # the terms of these items
+        term = mine["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(term)
+        counted = Statistics(all_of["n"], (all_of["size"] or 0) / max(all_of["n"], 1), term[order], mine["df"].to_numpy(np.int64)[order])
+        index = Index(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), segment, counted)
         if len(index.terms):
             out = out.unionByName(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(index), least, overlap, id_col, text_col), out.schema))
     return out
