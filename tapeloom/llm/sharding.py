@@ -12,7 +12,8 @@ At the end counts differ by one at most.
 
 Native: DataFrame functions only; on the driver are numbers of one row a shard, and at most 64 groups a shard. Defined results: null and empty texts
 have size 1 and crc32 0 and are one group; equal rows are placed as separate documents; extra columns are dropped; an
-empty table gives an empty result.
+empty table gives an empty result; rows with equal ids and texts take their slots in any order. Of a text of any length
+only its size and digests travel.
 """
 
 from __future__ import annotations
@@ -42,12 +43,19 @@ def loads(state: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(state: DataFrame, caps: list[int], rounds: int = 12) -> tuple[DataFrame, list[int]]:
-    """Rounds of balanced label propagation on state (key, shard, n), until nothing wants to move or rounds are over."""
+def scattered(state: DataFrame) -> int:
+    """Documents that are in another shard than most of their group."""
+    best = state.groupBy("key").agg((F.sum("n") - F.max("n")).alias("n"))
+    return best.agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
+def propagate(state: DataFrame, caps: list[int], gain: float = 1 / 16) -> tuple[DataFrame, list[int]]:
+    """Rounds of balanced label propagation on state (key, shard, n), as long as a round brings a share of `gain` of the
+    scattered documents home. What is left then is for `finish`, which leaves no group cut that fits."""
     shards = len(caps)
     spark = state.sparkSession
-    load = loads(state, shards)
-    for turn in range(rounds):
+    load, turn, left = loads(state, shards), 0, scattered(state)
+    while left:
         room = [max(0, c - n) for c, n in zip(caps, load, strict=True)]
         if not any(room):
             break
@@ -65,7 +73,9 @@ def propagate(state: DataFrame, caps: list[int], rounds: int = 12) -> tuple[Data
         moved = aimed.withColumn("moved", F.when(wants, F.least(F.col("n"), F.floor(F.col("n") * part + lot))).otherwise(F.lit(0)).cast("long"))
         both = F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("target").alias("shard"), F.col("moved").alias("n"))))
         state = cut(moved.select("key", both.alias("x")).select("key", "x.*").filter("n > 0").groupBy("key", "shard").agg(F.sum("n").alias("n")))
-        load = loads(state, shards)
+        load, turn, before, left = loads(state, shards), turn + 1, left, scattered(state)
+        if left > before * (1 - gain):
+            break
     return state, load
 
 
@@ -142,7 +152,7 @@ def finish(state: DataFrame, caps: list[int], buckets: int = 1024) -> tuple[Data
     return state, loads(state, shards)
 
 
-def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, buckets: int = 1024) -> DataFrame:
+def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
     """(id, size, text_crc32, law 'rows', shard, slot, grown_shard null, group_rows, group_shards).
 
     slot counts the rows of a shard from 0. group_rows and group_shards: documents with the text, and shards they lie in.
@@ -155,7 +165,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     sizes = parts.groupBy("key").agg(F.sum("n").alias("group_rows")).filter("group_rows > 1")
     first = F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int").alias("shard")
     state = cut(parts.join(sizes, "key", "left_semi").groupBy("key", first).agg(F.sum("n").alias("n")))
-    state, load = finish(propagate(state, caps, rounds)[0], caps, buckets)
+    state, load = finish(propagate(state, caps)[0], caps, buckets)
 
     # Where each group's documents go, by rank in the group: up to one row a shard, as an array.
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("shard"))
