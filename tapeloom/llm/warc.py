@@ -9,8 +9,9 @@ block's first key, file and place. To find a URL, the directory is searched for
 is read and searched, and the record is read by its range. Reading everything back goes the same way: all blocks give
 the captures, which are sorted by archive and place, and each record is read by its range.
 
-Defined results: a null page is empty; a null URL has the key "-"; ids may be null or repeat: such records keep an
-ordinal within the table's order by hash, and the largest id is taken without nulls; extra columns are ignored; an
+Defined results: a null page is empty; a null URL has the key "-"; a record without id revisits the largest id of its
+payload, too, and is a response if no record with that payload has one; of repeated rows of the largest id the first
+by URL is the response, and the others revisit it; pages of any length are one record; extra columns are ignored; an
 empty table gives no archive and an empty result.
 """
 
@@ -20,7 +21,7 @@ import gzip
 import hashlib
 import json
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -109,13 +110,18 @@ CAPTURES = "key string, page_id long, path string, offset long, length long"
 def _archive(folder: str):
     def of(t: pa.Table, aimed: pa.Table) -> pa.Table:
         target = {(r["page_id"], r["same"]): (r["refers_to"], r["refers_url"]) for r in aimed.to_pylist()}
+        first: set[tuple] = set()  # the largest ids whose response is written
         rows = sorted(t.select(["page_id", "url", "html", "digest", "same"]).to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["digest"], r["url"] or ""))
         if not rows:
             return pa.table({"key": pa.array([], pa.string()), "page_id": pa.array([], pa.int64()), "path": pa.array([], pa.string()), "offset": pa.array([], pa.int64()), "length": pa.array([], pa.int64())})
         name, out, offset = f"{folder}/archive-{t.column('archive')[0].as_py():08d}.warc.gz", [], 0
         found = {"key": [], "page_id": [], "path": [], "offset": [], "length": []}
         for r in rows:
-            data = record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["digest"], *target.get((r["page_id"], r["same"]), (None, None)))
+            aim = target.get((r["page_id"], r["same"]), (None, None))
+            if aim[0] is not None and aim[0] == r["page_id"] and (r["page_id"], r["same"]) not in first:
+                first.add((r["page_id"], r["same"]))
+                aim = None, None
+            data = record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["digest"], *aim)
             for n, v in zip(found, (url_key(r["url"]), r["page_id"], name, offset, len(data)), strict=True):
                 found[n].append(v)
             out.append(data)
@@ -151,9 +157,10 @@ def _blocks(folder: str, lines: int):
 
 def targets(pages: DataFrame, revisit_bytes: int) -> DataFrame:
     """(digest256, n, refers_to, refers_url): the response that other pages with this payload revisit."""
-    big = pages.filter(F.col("n") >= revisit_bytes).filter(F.col("page_id").isNotNull())
-    best = big.groupBy("same", "n").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("copies"))
-    return best.filter("copies > 1").select("same", "n", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url"))
+    big = pages.filter(F.col("n") >= revisit_bytes)
+    with_id = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    best = big.groupBy("same", "n").agg(F.max(with_id).alias("last"), F.count("*").alias("copies"))
+    return best.filter("copies > 1 and last is not null").select("same", "n", F.col("last.page_id").alias("refers_to"), F.col("last.url").alias("refers_url"))
 
 
 def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, archive_bytes: int = 16 << 20, block_lines: int = 1000) -> DataFrame:
@@ -169,12 +176,14 @@ def write(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url
     size = narrow.agg(F.sum("n").alias("n")).first()["n"] or 0
     archives = max(spark.sparkContext.defaultParallelism, int(size // archive_bytes) + 1)
 
+    # Records without id are dealt by their URL, too, for there may be many.
+    own = F.when(F.col("page_id").isNull(), F.col("url"))
     # Each page's target by its payload; hot payloads are few rows on the right, and Spark splits their left side.
-    aimed = narrow.join(targets(narrow, revisit_bytes), ["same", "n"]).filter("page_id <> refers_to").select("page_id", "same", "refers_to", "refers_url").distinct()
-    archive = F.pmod(F.xxhash64("page_id", "same"), F.lit(archives))
+    aimed = narrow.join(targets(narrow, revisit_bytes), ["same", "n"]).select("page_id", "same", "refers_to", "refers_url", own.alias("own")).distinct()
+    archive = F.pmod(F.xxhash64("page_id", "same", own), F.lit(archives))
     dealt = pages.select("page_id", "url", "html", "digest", "same", archive.alias("archive"))
     # One shuffle of the pages: what refers to what is dealt by the same rule, and meets them at the archive.
-    captures = cut(dealt.groupBy("archive").cogroup(aimed.withColumn("archive", archive).groupBy("archive")).applyInArrow(_archive(folder), CAPTURES))
+    captures = cut(dealt.groupBy("archive").cogroup(aimed.withColumn("archive", F.pmod(F.xxhash64("page_id", "same", "own"), F.lit(archives))).drop("own").groupBy("archive")).applyInArrow(_archive(folder), CAPTURES))
     total = captures.count()
     ranges = max(1, total // (50 * block_lines))
     ranged = captures.repartitionByRange(ranges, "key", "page_id").withColumn("range", F.spark_partition_id())
@@ -232,15 +241,14 @@ def read(directory: DataFrame, keep_html: bool = False) -> DataFrame:
 def lookup(directory: DataFrame, url: str) -> list[Record]:
     """The records of a URL: directory, one block or the few that its key spans, then range reads."""
     key, out = url_key(url), []
-    blocks = [tuple(r) for r in directory.select("first_key", "path", "offset", "length").orderBy("first_key", "path", "offset").collect()]  # one row a thousand captures
-    firsts = [b[0] for b in blocks]
-    i = max(0, bisect_right(firsts, key) - 1)
-    while i > 0 and firsts[i] == key:
-        i -= 1
-    while i < len(blocks) and firsts[i] <= key:
-        for k, _, path, offset, length in _lines(*blocks[i][1:]):
-            if k == key:
-                with files.Ranges(path) as f:
-                    out.append(parse(f.read(offset, length)))
-        i += 1
+    before = directory.filter(F.col("first_key") < key).agg(F.max("first_key").alias("k")).first()["k"]
+    near = directory.filter(F.col("first_key") <= key)
+    if before is not None:
+        near = near.filter(F.col("first_key") >= before)
+    for block in near.select("path", "offset", "length").orderBy("first_key", "path", "offset").collect():  # one, or those that the key spans
+        lines = _lines(*block)
+        keys = [x[0] for x in lines]
+        for _, _, path, offset, length in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
+            with files.Ranges(path) as f:
+                out.append(parse(f.read(offset, length)))
     return out
