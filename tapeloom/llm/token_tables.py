@@ -14,13 +14,15 @@ Keys are 9 bytes: 0 and the id, big-endian with the sign bit flipped; 1 and zero
 Values are token ids, little-endian, 2 or 4 bytes each.
 
 Defined results: a null text is empty and has the end id alone; repeated rows are entries of their own, in the order
-of their values; extra columns are ignored; an empty table gives no shard and an empty result.
+of their values; texts without id come after all others, in an order of their own; a text of any length is one entry;
+extra columns are ignored; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -250,14 +252,14 @@ class Shard:
 # --- tables ---------------------------------------------------------------------------------------------------------
 
 
-def _encode(path: str, end_id: int | None, bounds, id_col: str, text_col: str):
+def _encode(path: str, end_id: int | None, bounds, loose: int, id_col: str, text_col: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path), zstandard.ZstdCompressor(level=3)
         tail = np.array([] if end_id is None else [end_id], enc.kind)
         for batch in batches:
             ids = batch.column(id_col).to_pylist()
             got = [pack.compress(np.concatenate([x, tail]).tobytes()) for x in enc.encode(batch.column(text_col))]
-            part = [len(bounds.value) if i is None else int(np.searchsorted(bounds.value, i, "right")) for i in ids]
+            part = [len(bounds.value) + 1 + zlib.crc32(x) % loose if i is None else int(np.searchsorted(bounds.value, i, "right")) for i, x in zip(ids, got, strict=True)]
             yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), "id": pa.array(ids, pa.int64()), "ids": pa.array(got, pa.binary())})
 
     return of
@@ -287,15 +289,20 @@ def write(df: DataFrame, tokenizer: str, end_id: int | None, folder: str | None
     small_arrow_batches(spark)
     folder = folder or new_folder(spark, "tokens")
     docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    bytes_ = F.octet_length(text_col)
+    seen = docs.agg(F.sum(bytes_).alias("n"), F.sum(F.when(F.col(id_col).isNull(), bytes_)).alias("loose")).first()
+    size, loose = seen["n"] or 0, (seen["loose"] or 0) // shard_bytes + 1  # texts without id take shards of their own, dealt by hash
     parts = max(spark.sparkContext.defaultParallelism, size // shard_bytes + 1)
     low = docs.select(id_col).filter(F.col(id_col).isNotNull()).repartitionByRange(parts, id_col).groupBy(F.spark_partition_id().alias("p")).agg(F.min(id_col).alias("low"))
     bounds = spark.sparkContext.broadcast(np.array(sorted(r["low"] for r in low.collect())[1:], np.int64))  # 8 bytes a shard
-    coded = docs.mapInArrow(_encode(tokenizer, end_id, bounds, id_col, text_col), "part long, id long, ids binary")
+    coded = docs.mapInArrow(_encode(tokenizer, end_id, bounds, loose, id_col, text_col), "part long, id long, ids binary")
     listed = cut(coded.groupBy("part").applyInArrow(_write(tokenizer, folder), "part long, path string, entries long, tokens long, first_id long, last_id long"))
-    before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = listed.select("part", "tokens").withColumn("base", F.coalesce(before, F.lit(0)).cast("long")).drop("tokens")
-    return listed.join(bases, "part")
+    # Sums up to each shard, of thousands of shards first.
+    run = Window.rowsBetween(Window.unboundedPreceding, -1)
+    some = listed.withColumn("some", F.floor(F.col("part") / 4096))
+    upto = some.groupBy("some").agg(F.sum("tokens").alias("n")).withColumn("upto", F.coalesce(F.sum("n").over(run.orderBy("some")), F.lit(0))).drop("n")
+    within = F.coalesce(F.sum("tokens").over(run.partitionBy("some").orderBy("part")), F.lit(0))
+    return some.withColumn("within", within).join(upto, "some").withColumn("base", (F.col("within") + F.col("upto")).cast("long")).drop("some", "within", "upto")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
