@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import decontaminate, license_scan, mixing, quality_rules, repeats, set_join, sharding, token_tables, toxicity, warc
+from . import corpus, decontaminate, license_scan, mixing, quality_rules, repeats, set_join, sharding, token_tables, toxicity, warc
 from .common import table
 
 
@@ -27,10 +25,6 @@ def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_join.link(table(spark, sf_dir, "documents"), k=4, percent=85)
-
-
-def op3_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link(table(spark, sf_dir, "documents"), k=4, percent=85, links=True)
 
 
@@ -66,9 +60,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    of_tables = (op1_toxicity, op2_token_tables, op3_ngram_jaccard_join, op3_ngram_jaccard_links, op4_quality_rules, op5_warc, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)
+    of_tables = (op1_toxicity, op2_token_tables, op3_ngram_jaccard_join, op4_quality_rules, op5_warc, op6_substring_dedup, op7_benchmark_decontamination, op8_sharding, op9_mixing, op10_license_scan)
     return {f.__name__: f for f in (*of_tables, pipeline)}

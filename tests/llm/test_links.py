@@ -40,5 +40,5 @@ def test_links_odd(odd, none, data):
 
 
 def test_links_equal_sql(spark):
-    name, sf = "op3_ngram_jaccard_links", "/root/testdata/sf0.001"
+    name, sf = "op3_ngram_jaccard_join", "/root/testdata/sf0.001"
     assert differences(spark, connect(sf), sf, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name]) == ""

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeloom.llm import quality_rules
+from tapeloom.llm import corpus, quality_rules
 
 from . import brute
 
@@ -20,8 +20,8 @@ def test_stages(spark, tmp_path):
     good, single, clean, mixed, shards = seen[1:]
     assert all(x.columns == docs.columns for x in seen[1:5])
 
-    rules = quality_rules.cascade(quality_rules.default_rules())
-    want = {r[0] for r in quality_rules.features(docs).filter(rules.isNull()).select("doc_id").collect()}
+    rules = quality_rules.cascade(quality_rules.RULES, quality_rules.Values(quality_rules.text_of(docs)))
+    want = {r[0] for r in docs.filter(rules.isNull()).select("doc_id").collect()}
     assert {r[0] for r in good.select("doc_id").collect()} == want
 
     linked = brute.set_join([tuple(r) for r in good.select("doc_id", "text").collect()], 5, 80)
@@ -51,8 +51,8 @@ def test_rows_that_repeat(spark):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text + " more", "en", "a", 1), (None, text + " other end", "en", None, 1), (3, "quite another text with enough words to be kept by all rules", "en", "b", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    single = corpus_pipeline.near_duplicates(spark, docs, "")
+    single = corpus.near_duplicates(spark, docs, "")
     assert sorted(map(str, (r["doc_id"] for r in single.collect()))) == ["1", "3", "None"]
-    mixed = corpus_pipeline.mixture(spark, docs, "")
+    mixed = corpus.mixture(spark, docs, "")
     n = Counter(r["doc_id"] for r in mixed.collect())
     assert mixed.columns == docs.columns and n[1] <= 4 and all(n[i] <= 2 for i in (2, 3, None))
