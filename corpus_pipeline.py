@@ -1,56 +1,5 @@
-"""A corpus pipeline of five stages; each works on what its predecessor kept, written as Parquet and read again."""
+"""The corpus pipeline: STAGES, run and ORACLE_SQL."""
 
-from __future__ import annotations
+from tapeloom.llm.corpus import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tapeloom.llm import decontaminate, mixing, quality_rules, set_join, sharding
-from tapeloom.llm.common import WORD, new_folder, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_rules.keep_good(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, that with the least doc_id."""
-    return set_join.one_of_each(docs, k=5, percent=80)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, one or two rows each. Rows of one id are told apart by size."""
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), "size", "n_copies").withColumn("__turn", F.row_number().over(Window.partitionBy("__id").orderBy("size", "n_copies")))
-    rows = docs.withColumn("size", words).withColumn("__n", turn)
-    same = rows["doc_id"].eqNullSafe(taken["__id"]) & (rows["__n"] == taken["__turn"])
-    joined = rows.join(taken.drop("size").filter("n_copies > 0"), same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*docs.columns)
-
-
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
-    return sharding.shard(docs, shards=16)
-
-
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
-
-#: Propagation and rounding are iterative; tests hold the stages against plain versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each stage's rows written to the shared folder before the next reads them."""
-    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
-    for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
-        docs = spark.read.parquet(f"{folder}/{n}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
