@@ -43,7 +43,7 @@ SPARE_BITS = 8
 #: Bytes of a word's hash in a suffix.
 WORD_BYTES = 5
 #: Words of repeated runs that are taken together when leaves are found, and for one tree.
-BUNDLE, TREE = 2 << 20, 1 << 20
+BUNDLE, TREE = 1 << 20, 1 << 18
 #: What stands before a window: different words, the beginning of one text, or else 32 bits of the word's hash.
 MANY, START = 0, 1
 _LAST = np.iinfo(np.int64).max
