@@ -43,7 +43,7 @@ SPARE_BITS = 8
 #: Bytes of a word's hash in a suffix.
 WORD_BYTES = 5
 #: Words of repeated runs that are taken together when leaves are found, and for one tree.
-BUNDLE, TREE = 1 << 20, 1 << 18
+BUNDLE, TREE = 2 << 20, 1 << 19
 #: What stands before a window: different words, the beginning of one text, or else 32 bits of the word's hash.
 MANY, START = 0, 1
 _LAST = np.iinfo(np.int64).max
@@ -403,7 +403,8 @@ def _trees(window: int):
                 last = last[:lcp] + words[place : place + size - lcp]
                 place += size - lcp
                 text.append(last)
-            parts.append(got)
+            del words
+            parts.append({n: got[n] for n in ("code", "owner", "times", "chunk", "doc", "id", "start", "lcp")})
         tree = Tree(text, *(np.concatenate([p[n] for p in parts]) for n in ("code", "owner", "times")), window)
         base, every = 0, []
         for p in parts:
