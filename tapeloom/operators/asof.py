@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str, exact: bool = True) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str, exact: bool = True, order: str | None = None) -> DataFrame:
     """left with value of the last right row (value not null) at or before its time (exact=False: before).
 
     One shuffle by the keys: both sides are put in one order of time and the value is carried forward, so that no pair
-    of rows is ever built. At equal times right rows stand first if exact, else last.
+    of rows is ever built. At equal times right rows stand first if exact, else last; among right rows of one time the
+    last by the order column counts, or without one the largest value. A column of left with the value's name is replaced.
     """
-    extra = [c for c in left.columns if c not in (*by, on)]
-    a = left.select(*by, on, *extra, F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(True).alias("__left"))
-    b = right.select(*by, on, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in extra], F.col(value).alias("__v"), F.lit(False).alias("__left"))
-    w = Window.partitionBy(*by).orderBy(F.col(on), F.col("__left") if exact else F.col("__left").cast("int") * -1).rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__left").drop("__v", "__left")
+    extra = [c for c in left.columns if c not in (*by, on, value)]
+    right = right.select(*by, on, value, (F.col(order) if order else F.col(value)).alias("__seq"))
+    seq = right.schema["__seq"].dataType
+    a = left.select(*by, on, *extra, F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(True).alias("__left"), F.lit(None).cast(seq).alias("__seq"))
+    b = right.select(*by, on, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in extra], F.col(value).alias("__v"), F.lit(False).alias("__left"), "__seq")
+    w = Window.partitionBy(*by).orderBy(F.col(on), F.col("__left") if exact else F.col("__left").cast("int") * -1, F.col("__seq")).rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__left").drop("__v", "__left", "__seq")
 
 
 def within(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, days: int, value: str, order: str) -> DataFrame:

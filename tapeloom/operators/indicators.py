@@ -110,6 +110,16 @@ def base(bars: DataFrame, n: int = 252) -> DataFrame:
     return low.select("symbol", "base_high", "base_low", ((F.col("base_high") - F.col("base_low")) / F.col("base_high") * 100).alias("depth_pct"), ((F.col("base_high") - F.col("close")) / F.col("base_high") * 100).alias("below_high_pct"))
 
 
+def with_base(bars: DataFrame, n: int = 252) -> DataFrame:
+    """Adds top, the first highest high of the last n bars, and depth_pct, how far the lowest low since lies below it."""
+    w = last_bars(n)
+    rows = bars.withColumn("__k", F.row_number().over(by_symbol()))
+    rows = rows.withColumn("__top", F.max(F.struct("high", (-F.col("__k")).alias("k"))).over(w)).withColumn("__lows", F.collect_list("low").over(w))
+    since = F.col("__k") + F.col("__top")["k"] + 1  # bars from the top up to this one
+    low = F.array_min(F.slice("__lows", -since, since))
+    return rows.withColumns({"top": F.col("__top")["high"], "depth_pct": (F.col("__top")["high"] - low) / F.col("__top")["high"] * 100}).drop("__k", "__top", "__lows")
+
+
 def extended(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
     out = with_atr(with_averages(bars, (50,)))
     over = (F.col("close") / F.col("sma_50") - 1) * 100
@@ -117,7 +127,7 @@ def extended(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
     return out.withColumns({"over_pct": over, "over_atr": atrs}).withColumn("extended", F.coalesce((F.col("over_pct") > s.extended_pct) | (F.col("over_atr") > s.extended_atr), F.lit(False)))
 
 
-def breadth(bars: DataFrame, n: int = 200, least: int = 10) -> DataFrame:
+def breadth(bars: DataFrame, n: int = 200, least: int = 100) -> DataFrame:
     """Share of symbols above their n-bar average on each date with enough symbols."""
     a = with_averages(bars, (n,)).filter(F.col(f"sma_{n}").isNotNull())
     return a.groupBy("date").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("close") > F.col(f"sma_{n}")).alias("above")).filter(F.col("symbols") >= least).withColumn("breadth_pct", 100.0 * F.col("above") / F.col("symbols"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.config import Gap, Technical
+from tapeloom.config import Gap, Stage, Technical
 from tapeloom.functions.windows import back, by_symbol, percentile, roll_max
 from tapeloom.operators import indicators as ind
 from tapeloom.sources import bars as src
@@ -156,19 +156,19 @@ BREADTH = f"a AS (SELECT date, close, {mean_sql('close', 200)} AS sma FROM bars)
 
 @query(f"{BREADTH} SELECT date, symbols, above, round(breadth, 8) AS breadth_pct FROM br", on_bars=True)
 def breadth_200dma(spark, sf):
-    return ind.breadth(bars(spark, sf)).withColumn("breadth_pct", r(F.col("breadth_pct")))
+    return ind.breadth(bars(spark, sf), least=10).withColumn("breadth_pct", r(F.col("breadth_pct")))
 
 
 @query(f"{BREADTH} SELECT date, CASE WHEN breadth < 50 THEN 0.5::double ELSE 1.0::double END AS scale_binary, CASE WHEN breadth < 40 THEN 0.5::double WHEN breadth < 60 THEN 0.75::double ELSE 1.0::double END AS scale_graded FROM br", on_bars=True)
 def regime_scale(spark, sf):
-    b, x = ind.breadth(bars(spark, sf)), F.col("breadth_pct")
+    b, x = ind.breadth(bars(spark, sf), least=10), F.col("breadth_pct")
     return b.select("date", F.when(x < 50, 0.5).otherwise(1.0).alias("scale_binary"), F.when(x < 40, 0.5).when(x < 60, 0.75).otherwise(1.0).alias("scale_graded"))
 
 
 @query(
     """m AS (SELECT symbol, last_day(date) AS month, arg_max(close, date) AS close FROM bars GROUP BY 1, 2),
     r AS (SELECT a.symbol, a.month, a.close/b.close AS ret FROM m a JOIN m b ON a.symbol = b.symbol AND b.month = last_day((date_trunc('month', a.month) - INTERVAL 6 MONTH)::date)),
-    k AS (SELECT month, avg(ret) AS market FROM r GROUP BY 1), g AS (SELECT month, left(symbol, 7) AS industry, median(ret/market) AS rs, count(*) AS stocks FROM r JOIN k USING (month) GROUP BY 1, 2 HAVING count(*) >= 3),
+    k AS (SELECT month, avg(ret) AS market FROM r GROUP BY 1), g AS (SELECT month, 'sector' || (substr(symbol, 7)::int % 5) AS industry, median(ret/market) AS rs, count(*) AS stocks FROM r JOIN k USING (month) GROUP BY 1, 2 HAVING count(*) >= 3),
     e AS (SELECT *, count(*) OVER (PARTITION BY month) AS n FROM g), f AS (SELECT month, industry, round(rs, 6) AS rs, stocks FROM e WHERE n >= 5)
     SELECT month, industry, rs, stocks, round("""
     + PCT_SQL.format(p="month", c="rs")
@@ -177,7 +177,7 @@ def regime_scale(spark, sf):
 )
 def industry_heat_grid(spark, sf):
     b = bars(spark, sf)
-    groups = b.select("symbol").distinct().withColumn("industry", F.substring("symbol", 1, 7))
+    groups = b.select("symbol").distinct().withColumn("industry", F.concat(F.lit("sector"), F.expr("int(substr(symbol, 7)) % 5")))
     h = ind.heat(b, groups).withColumn("rs", r(F.col("rs"), 6))
     return h.select("month", "industry", "rs", "stocks", r(percentile(F.col("rs"), "month")).alias("heat"))
 
@@ -234,18 +234,19 @@ def tags(b):
     """Tag of each bar: BROKEN, CONFIRMED, EXTENDED, ANTICIPATION or WATCH."""
     keys = ["symbol", "date"]
     t = ind.with_template(b).select(*keys, "template").join(ind.extended(b).select(*keys, "extended"), keys).join(ind.stages(b).select(*keys, "close", "ma", "stage"), keys)
-    t = t.join(ind.strength(b, src.benchmark(b)).select(*keys, "improving"), keys).join(b.select(*keys, roll_max(F.col("high"), 252, 1).alias("top")), keys)
+    t = t.join(ind.strength(b, src.benchmark(b)).select(*keys, "improving"), keys).join(ind.with_base(b, Stage.base_bars).select(*keys, "top", "depth_pct"), keys)
     below = (F.col("top") - F.col("close")) / F.col("top") * 100
     broken = (F.col("stage") == 4) | ((F.col("stage") == 3) & (F.col("close") < F.col("ma")))
     tag = F.when(broken, "BROKEN").when((F.col("stage") == 2) & F.col("template") & ~F.col("extended"), "CONFIRMED").when(F.col("extended") & (F.col("stage") == 2), "EXTENDED")
-    return t.withColumn("tag", tag.when((F.col("stage") == 1) & (below <= 25) & F.coalesce("improving", F.lit(False)), "ANTICIPATION").otherwise("WATCH"))
+    return t.withColumn("tag", tag.when((F.col("stage") == 1) & (F.col("depth_pct") <= Stage.base_depth_pct) & (below <= Stage.below_high_pct) & F.coalesce("improving", F.lit(False)), "ANTICIPATION").otherwise("WATCH"))
 
 
 TAGS = (
     TEMPLATE.format(shift=20) + ", " + ATR_CTE + f", ex AS (SELECT symbol, date, (close/sma-1)*100 AS op, CASE WHEN atr > 0 THEN (close-sma)/atr END AS oa FROM (SELECT *, {mean_sql('close', 50)} AS sma FROM atr)), " + STAGE + ", " + RS_CTE
-    + """, top AS (SELECT symbol, date, max(high) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS top FROM bars),
+    + """, hl AS (SELECT symbol, date, list(high) OVER y AS hs, list(low) OVER y AS ls FROM bars WINDOW y AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
+    top AS (SELECT symbol, date, list_max(hs) AS top, (list_max(hs)-list_min(ls[list_position(hs, list_max(hs)):]))/list_max(hs)*100 AS depth FROM hl),
     tagged AS (SELECT stage.symbol, stage.date, CASE WHEN stage = 4 OR stage = 3 AND stage.close < ma THEN 'BROKEN' WHEN stage = 2 AND checks_passed = 8 AND NOT coalesce(op > 25 OR oa > 3.5, false) THEN 'CONFIRMED'
-      WHEN coalesce(op > 25 OR oa > 3.5, false) AND stage = 2 THEN 'EXTENDED' WHEN stage = 1 AND (top-stage.close)/top*100 <= 25 AND coalesce(rs_63 > rs_126, false) THEN 'ANTICIPATION' ELSE 'WATCH' END AS tag
+      WHEN coalesce(op > 25 OR oa > 3.5, false) AND stage = 2 THEN 'EXTENDED' WHEN stage = 1 AND depth <= 40 AND (top-stage.close)/top*100 <= 25 AND coalesce(rs_63 > rs_126, false) THEN 'ANTICIPATION' ELSE 'WATCH' END AS tag
       FROM stage JOIN c USING (symbol, date) JOIN ex USING (symbol, date) JOIN rs USING (symbol, date) JOIN top USING (symbol, date))"""
 )
 

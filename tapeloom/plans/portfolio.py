@@ -62,6 +62,17 @@ def config_grid(spark, sf):
     return found.groupBy("config").agg(*mt.trade_stats(D("realized_pnl"), D("r_multiple")))
 
 
+@query()
+def backtest_options(spark, sf):
+    """Lots under all options: next open, gap stops, a scale by breadth, halving after losses, sizes by equity, scores."""
+    b = bars(spark, sf)
+    x = D("breadth_pct")
+    scale = ind.breadth(b, least=10).select("date", F.when(x < 50, 0.5).otherwise(1.0).alias("scale"))
+    scored = candidates(b).withColumn("score", F.pmod(F.xxhash64("symbol", "date"), F.lit(101)) / 100.0)
+    found = simulate.paths(b, scored, gap_stops=True, patience_score=0.6, next_open=True)
+    return simulate.allocate(found, GRID, scale=scale, scale_of=simulate.after_losses, size_on="equity", min_score=0.2, rank_by="score", split="score")
+
+
 @query()
 def progressive_exposure(spark, sf):
     return simulate.exposure(lots(spark, sf)[1])
@@ -82,10 +93,11 @@ def pit_score_events(spark, sf):
     return g.select("segment", "period_end", F.date_add("period_end", 45).alias("known_as_of"), r(D("growth")).alias("growth"), r(score).alias("score"))
 
 
-@query("WITH n AS (SELECT * FROM events WHERE event_id % 2 = 0), a AS (SELECT DISTINCT props FROM events WHERE event_id % 2 = 1 AND event_id % 5 = 0) SELECT DISTINCT props FROM n WHERE props NOT IN (SELECT props FROM a WHERE props IS NOT NULL)")
+@query("WITH e AS (SELECT user_id || '|' || event_type || '|' || props AS k, ts FROM events) SELECT DISTINCT k FROM e WHERE ts >= TIMESTAMP '2024-01-16' AND k NOT IN (SELECT k FROM e WHERE ts < TIMESTAMP '2024-01-16' AND k IS NOT NULL)")
 def archive_anti_join(spark, sf):
-    e = table(spark, sf, "events")
-    return state.unseen(e.filter("event_id % 2 = 0").select("props"), e.filter("event_id % 2 = 1 and event_id % 5 = 0").select("props"), D("props"))
+    """What happened since the middle of the month that the archive of the days before lacks."""
+    e = table(spark, sf, "events").select(F.concat_ws("|", D("user_id").cast("string"), "event_type", "props").alias("k"), "ts")
+    return state.unseen(e.filter("ts >= '2024-01-16'").select("k"), e.filter("ts < '2024-01-16'").select("k"), D("k"))
 
 
 @query("SELECT event_id, CASE WHEN ts::date >= DATE '2024-01-20' THEN value + 1 ELSE value END AS value FROM events")

@@ -284,17 +284,9 @@ def r_histogram(spark, sf):
     return spark.range(8).select(D("id").cast("int").alias("bin")).join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-EQ = "b AS (SELECT date, symbol, close AS equity FROM bars WHERE symbol < 'Brand#2'), d AS (SELECT *, equity/max(equity) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)-1 AS dd FROM b)"
+EQ = "b AS (SELECT date, symbol, close AS equity FROM bars), d AS (SELECT *, equity/max(equity) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)-1 AS dd FROM b)"
 
 
 @query(f"{EQ} SELECT symbol, round((arg_max(equity, date)/arg_min(equity, date)-1)*100, 4) AS return_pct, round(min(dd)*100, 4) AS max_drawdown_pct, round((pow(arg_max(equity, date)/arg_min(equity, date), 1/greatest(date_diff('day', min(date), max(date))/365.25, 1e-6))-1)*100, 3) AS cagr_pct FROM d GROUP BY 1", on_bars=True)
 def equity_stats(spark, sf):
-    return mt.equity_stats(bars(spark, sf).filter("symbol < 'Brand#2'").select("symbol", "date", D("close").alias("equity")), "symbol")
-
-
-EQ_ALL = "b AS (SELECT date, symbol, close AS equity FROM bars), d AS (SELECT *, equity/max(equity) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)-1 AS dd FROM b)"
-
-
-@query(f"{EQ_ALL} SELECT symbol, round((arg_max(equity, date)/arg_min(equity, date)-1)*100, 4) AS return_pct, round(min(dd)*100, 4) AS max_drawdown_pct, round((pow(arg_max(equity, date)/arg_min(equity, date), 1/greatest(date_diff('day', min(date), max(date))/365.25, 1e-6))-1)*100, 3) AS cagr_pct FROM d GROUP BY 1", on_bars=True)
-def equity_stats_all(spark, sf):
     return mt.equity_stats(bars(spark, sf).select("symbol", "date", D("close").alias("equity")), "symbol")

@@ -80,9 +80,9 @@ def slow_path(at, entry, stop, bar, r):
         if not moved and bar["close"][i] >= entry + r.breakeven_r * risk:
             moved, level = True, max(level, entry)
         if "trading" not in out and taken and bar["close"][i] < bar["trail"][i]:
-            out["trading"] = (i, bar["close"][i], "trend_break")
+            out["trading"] = (i, bar["close"][i], "trend_break_50dma")
         if "core" not in out and bar["week_end"][i] and bar["close"][i] < bar["core"][i]:
-            out["core"] = (i, bar["close"][i], "weekly_close_below_ma")
+            out["core"] = (i, bar["close"][i], "weekly_close_below_30wk_ma")
         if "trading" in out and "core" in out:
             break
     for lot in ("trading", "core"):
