@@ -37,6 +37,12 @@ def equity_stats(eq: DataFrame, *by: str) -> DataFrame:
     return eq.withColumn("__dd", F.col("equity") / top - 1).groupBy(*by).agg(F.round((last / first - 1) * 100, 4).alias("return_pct"), F.round(F.min("__dd") * 100, 4).alias("max_drawdown_pct"), F.round((F.pow(last / first, 1 / years) - 1) * 100, 3).alias("cagr_pct"))
 
 
+def corrected_cagr(eq: DataFrame, start: Column, *by: str, least_years: float = 0.5) -> DataFrame:
+    """Yearly growth of (date, equity) counted from start on where the curve begins before it, for each group."""
+    years = F.greatest(F.date_diff(F.max("date"), F.greatest(F.min("date"), F.min(start))) / 365.25, F.lit(least_years))
+    return eq.groupBy(*by).agg(F.round((F.pow(F.max_by("equity", "date") / F.min_by("equity", "date"), 1 / years) - 1) * 100, 3).alias("cagr_pct"))
+
+
 def outcomes(signals: DataFrame, bars: DataFrame) -> DataFrame:
     """What became of signals (id, symbol, date, close, stop): highs and lows in units of risk up to the day the stop
     was hit, the return to date, and -1 R where it was hit. One pass of the bars after each signal."""
