@@ -5,8 +5,9 @@ first, by a frequency sketch of fixed size that is summed over the whole corpus,
 in common must share one of the first `size - need + 1` shingles, so only those go to inverted lists.
 
 Skips of two kinds keep the lists from being paired out:
-* by position: a list is sorted by size and position, and a block of it is skipped where what is left of both sets
-  after their places cannot reach the overlap that is needed;
+* by position: a list is sorted by size and position and cut into blocks, whose headers hold the sizes, the most that
+  is left of a set after its place, and the component where there is but one. A probe reads the headers and skips
+  blocks that cannot reach the overlap it needs;
 * by answers: in each list the most typical set (most of it frequent) is joined first. What is found similar to it
   has its place in its component, derived from its answer; afterwards only sets that are still in different
   components are compared. In a group of near copies that leaves the few sets at the edge.
@@ -17,7 +18,8 @@ links of each row, where asked for, comes from comparing all sets inside a compo
 
 Defined results: a null or empty text has no shingles and links with nothing; rows
 without id stand for no component and no link; repeated rows are copies of each other;
-a text with fewer words than k is one shingle; extra columns are ignored; an empty table gives an empty result.
+a text with fewer words than k is one shingle; texts of any length are taken whole; of sets equally typical that with
+the smaller key is the pivot; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BROADCAST_BYTES = 64 << 20
 _SLICES = 64
 #: Classes of a large component that a task compares with as many others, and shingles it takes at a time.
 BLOCK, COLUMNS = 512, 8192
+#: Sets of a list that a probe reads or skips together.
+ENTRIES = 64
 
 
 def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,30 +209,53 @@ def _lists(sim: Fraction):
     return of
 
 
+class Blocks:
+    """A list by size and position, in blocks that a probe skips by their headers."""
+
+    def __init__(self, size: np.ndarray, reach: np.ndarray, comp: np.ndarray, sim: Fraction):
+        self.sim, self.order = sim, np.lexsort((-reach, size))
+        size, reach, comp = size[self.order], reach[self.order], comp[self.order]
+        cuts = np.arange(0, len(size), ENTRIES)
+        self.smallest, self.largest = np.minimum.reduceat(size, cuts), np.maximum.reduceat(size, cuts)
+        self.reach, self.comp = np.maximum.reduceat(reach, cuts), comp[cuts]
+        self.alone = np.minimum.reduceat(comp, cuts) == np.maximum.reduceat(comp, cuts)
+
+    def read(self, size: int, reach: int, comp: int) -> np.ndarray:
+        """Entries of the blocks that may hold a set of another component similar to a set of that size and reach."""
+        p, q = self.sim.numerator, self.sim.denominator
+        least = np.maximum(self.smallest, -(-size * p // q))  # of the sets in a block that are large enough
+        able = (self.largest >= least) & (self.smallest * p <= size * q) & (np.minimum(self.reach, reach) >= need(least, size, self.sim))
+        kept = np.flatnonzero(able & ~(self.alone & (self.comp == comp)))
+        entries = (kept[:, None] * ENTRIES + np.arange(ENTRIES)).ravel()
+        return self.order[entries[entries < len(self.order)]]
+
+
 def _across(sim: Fraction):
     """Pairs of a list's sets that are in different components and whose sizes and places allow the similarity."""
     p, q = sim.numerator, sim.denominator
 
     def of(t: pa.Table) -> pa.Table:
-        key, size, reach, comp, shared = (np.array(t.column(c).to_pylist(), np.int64) for c in ("key", "size", "reach", "component", "shared"))
+        key, size, reach, comp, shared = (t.column(c).to_numpy() for c in ("key", "size", "reach", "component", "shared"))
         kinds, at, n = np.unique(comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(at != np.argmax(n))
+        blocks = Blocks(size, reach, comp, sim)
         a_out, b_out = [], []
         place = np.zeros(len(key), np.int64)
         place[rest] = np.arange(len(rest)) + 1
-        for r in rest:
-            ok = (comp != comp[r]) & ((place == 0) | (place > place[r])) & (size * q >= size[r] * p) & (size * p <= size[r] * q)
-            most = np.minimum(reach, reach[r])
+        for r in rest.tolist():
+            e = blocks.read(int(size[r]), int(reach[r]), int(comp[r]))
+            ok = (comp[e] != comp[r]) & ((place[e] == 0) | (place[e] > place[r])) & (size[e] * q >= size[r] * p) & (size[e] * p <= size[r] * q)
+            most = np.minimum(reach[e], reach[r])
             # Answers derived from the pivot's: two sets share at most what both share with it and what both have beyond it.
-            by_pivot = np.minimum(shared, shared[r]) + np.minimum(size - shared, size[r] - shared[r])
-            most = np.where((shared >= 0) & (shared[r] >= 0), np.minimum(most, by_pivot), most)
-            ok &= most >= need(size, size[r], sim)
-            b = key[ok]
+            by_pivot = np.minimum(shared[e], shared[r]) + np.minimum(size[e] - shared[e], size[r] - shared[r])
+            most = np.where((shared[e] >= 0) & (shared[r] >= 0), np.minimum(most, by_pivot), most)
+            ok &= most >= need(size[e], size[r], sim)
+            b = key[e[ok]]
             b_out.append(b)
             a_out.append(np.full(len(b), key[r]))
         a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
         b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return of
 
