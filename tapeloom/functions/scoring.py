@@ -157,3 +157,10 @@ def catalyst_with_events(base: Column, events: Column, items: Column, mood: Colu
 
 def theme_tailwind(themes: Column) -> Column:
     return F.when(themes > 0, F.least(0.3 + 0.35 * F.least(themes, F.lit(2)), F.lit(1.0))).otherwise(0.3)
+
+
+def radar(polarity: Column, tag: Column, held: Column) -> Column:
+    """Class of a filing, 0 first: bad news of a held symbol, good news of one confirmed or forming, good, bad, other."""
+    held, forming = F.coalesce(held, F.lit(False)), F.coalesce(tag.isin("CONFIRMED", "ANTICIPATION"), F.lit(False))
+    good, bad = polarity == "pos", polarity == "neg"
+    return F.when(bad & held, 0).when(good & forming, 1).when(good, 2).when(bad, 3).otherwise(4)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tapeloom.config import Gap, Stage, Technical
 from tapeloom.functions.windows import back, by_symbol, last_bars, percentile, roll_max, roll_mean, roll_min, roll_price_mean, units
 
+from .asof import asof
 
 
 def with_averages(bars: DataFrame, lengths=(50, 150, 200)) -> DataFrame:
@@ -78,8 +79,9 @@ def gaps(bars: DataFrame, g: Gap = Gap(), n: int = 50) -> DataFrame:
 
 
 def strength(bars: DataFrame, bench: DataFrame, spans=(63, 126, 252)) -> DataFrame:
-    """Ratio of a symbol's return to the benchmark's over bars of the joined series, the blend and whether it improves."""
-    both = bars.select("symbol", "date", "close").join(bench, "date")
+    """Adds the ratio of a symbol's return to the benchmark's over bars of the joined series, the blend and whether it
+    improves. The benchmark has a row a trading day and is broadcast, so that bars keep their partitioning by symbol."""
+    both = bars.join(F.broadcast(bench), "date")
     for n in spans:
         both = both.withColumn(f"rs_{n}", (F.col("close") / back(F.col("close"), n)) / (F.col("bench") / back(F.col("bench"), n)))
     a, b, c = (F.col(f"rs_{n}") for n in spans)
@@ -87,7 +89,8 @@ def strength(bars: DataFrame, bench: DataFrame, spans=(63, 126, 252)) -> DataFra
 
 
 def stages(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
-    """Stage 1 to 4 of each bar: its close closes the running week, the earlier weeks are complete.
+    """Adds the stage, 1 to 4, of each bar: its close closes the running week, the earlier weeks are complete. Bars before
+    enough weeks go.
 
     Weeks are numbered; sums over completed weeks come from the weekly closes, joined to the bars of the next week.
     """
@@ -99,7 +102,7 @@ def stages(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
     slope = ma / old - 1
     place = F.when(F.col("hi") > F.col("lo"), (c - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
     stage = F.when((c > ma) & (slope > s.band), 2).when((c < ma) & (slope < -s.band), 4).when(place < 0.5, 1).otherwise(3)
-    return t.filter(F.col("done") + 1 >= s.min_weeks).select("symbol", "date", "close", ma.alias("ma"), slope.alias("slope"), place.alias("place"), stage.alias("stage"))
+    return t.filter(F.col("done") + 1 >= s.min_weeks).select(*bars.columns, ma.alias("ma"), slope.alias("slope"), place.alias("place"), stage.alias("stage"))
 
 
 def base(bars: DataFrame, n: int = 252) -> DataFrame:
@@ -147,3 +150,29 @@ def heat(bars: DataFrame, groups: DataFrame, months: int = 6, stocks: int = 3, i
     per = ret.join(market, "month").join(groups, "symbol").groupBy("month", "industry").agg(F.median(F.col("ret") / F.col("market")).alias("rs"), F.count(F.lit(1)).alias("stocks")).filter(F.col("stocks") >= stocks)
     enough = per.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("month"))).filter(F.col("n") >= industries)
     return enough.withColumn("heat", percentile(F.col("rs"), "month")).drop("n")
+
+
+def completed_week(bars: DataFrame, n: int = 150) -> DataFrame:
+    """(symbol, week_close, week_sma): the last bar of each symbol's last completed week, and its n-bar average. A week is
+    complete when a bar of a later week is there or its Friday is."""
+    newest = F.max("date").over(Window.partitionBy("symbol"))
+    now = F.next_day(F.date_sub(newest, 1), "FRI")
+    out = with_averages(bars, (n,)).withColumn("__done", (week_label() < now) | (F.col("date") == week_label()))
+    return last_bar(out.filter("__done")).select("symbol", F.col("close").alias("week_close"), F.col(f"sma_{n}").alias("week_sma"))
+
+
+def market_scale(dates: DataFrame, snapshots: DataFrame, bench: DataFrame, max_age: int = 7, least: int = 100, half_below: float = 50.0, n: int = 150) -> DataFrame:
+    """(date, scale, rule) of each date: half the risk where the last breadth snapshot (date, breadth_pct, symbols) is below
+    the bound; where it is older than max_age days or of fewer than least symbols, half where the benchmark (date, bench)
+    stands below its n-bar average; full risk where neither is known. A row a trading day: one small window."""
+    k = F.lit(1).alias("k")
+    snap = snapshots.select(k, "date", F.struct("date", F.round("breadth_pct", 1).alias("pct"), "symbols").alias("snap"))
+    w = Window.partitionBy("k").orderBy("date").rowsBetween(-(n - 1), 0)
+    average = F.when(F.count("bench").over(w) >= n, F.sum(units(F.col("bench"))).over(w) / F.lit(10_000.0 * n))
+    below = bench.select(k, "date", "bench").withColumn("below", F.col("bench") < average).filter("below is not null")
+    j = asof(asof(dates.select(k, "date"), snap, ["k"], "date", "snap"), below, ["k"], "date", "below")
+    fresh = (F.date_diff("date", F.col("snap.date")) <= max_age) & (F.col("snap.symbols") >= least) & F.col("snap.pct").isNotNull()
+    fresh = F.coalesce(fresh, F.lit(False))
+    half = F.when(fresh, F.col("snap.pct") < half_below).otherwise(F.coalesce("below", F.lit(False)))
+    rule = F.when(fresh, "breadth").when(F.col("below").isNotNull(), "benchmark").otherwise("none")
+    return j.select("date", F.when(half, 0.5).otherwise(1.0).alias("scale"), rule.alias("rule"))

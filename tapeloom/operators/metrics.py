@@ -45,12 +45,17 @@ def corrected_cagr(eq: DataFrame, start: Column, *by: str, least_years: float =
 
 def outcomes(signals: DataFrame, bars: DataFrame) -> DataFrame:
     """What became of signals (id, symbol, date, close, stop): highs and lows in units of risk up to the day the stop
-    was hit, the return to date, and -1 R where it was hit. One pass of the bars after each signal."""
-    later = signals.join(bars.select("symbol", F.col("date").alias("d"), "high", "low", F.col("close").alias("c")), "symbol").filter(F.col("d") > F.col("date"))
-    hit = later.groupBy("id").agg(F.min(F.when(F.col("low") <= F.col("stop"), F.col("d"))).alias("hit"))
-    risk = F.col("close") - F.col("stop")
-    seen = later.join(hit, "id").filter(F.col("hit").isNull() | (F.col("d") <= F.col("hit")))
-    agg = seen.groupBy("id").agg(F.first("hit").alias("hit"), F.max((F.col("high") - F.col("close")) / risk).alias("mfe"), F.min((F.col("low") - F.col("close")) / risk).alias("mae"), F.max_by((F.col("c") - F.col("close")) / risk, "d").alias("now"), F.max("d").alias("last"))
-    out = signals.join(agg, "id", "left")
-    status = F.when(F.col("last").isNull(), "no data yet").when(F.col("hit").isNotNull(), "stopped").otherwise("open")
-    return out.select("id", "symbol", "date", F.round("mfe", 4).alias("max_favorable_r"), F.round("mae", 4).alias("max_adverse_r"), F.round(F.when(F.col("hit").isNotNull(), -1.0).otherwise(F.col("now")), 4).alias("r_to_date"), status.alias("status"))
+    was hit, the return to date, and -1 R where it was hit. Bars come as one array a symbol (as long as its trading days),
+    cut at the day of the signal and at the hit, so that no row is made for a pair of signal and bar."""
+    day = F.struct(F.col("date").alias("d"), "high", "low", F.col("close").alias("c"))
+    series = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(day)).alias("__bars"))
+    later = signals.join(series, "symbol", "left").withColumn("__bars", F.filter("__bars", lambda x: x["d"] > F.col("date")))
+    hit = F.array_position(F.transform("__bars", lambda x: x["low"] <= F.col("stop")), True)
+    risk = F.nullif(F.col("close") - F.col("stop"), F.lit(0.0))
+    seen = later.withColumn("__hit", F.coalesce(hit, F.lit(0)).cast("int"))
+    seen = seen.withColumn("__bars", F.when(F.col("__hit") > 0, F.slice("__bars", F.lit(1), F.greatest("__hit", F.lit(1)))).otherwise(F.col("__bars")))
+    best = F.array_max(F.transform("__bars", lambda x: (x["high"] - F.col("close")) / risk))
+    worst = F.array_min(F.transform("__bars", lambda x: (x["low"] - F.col("close")) / risk))
+    now = (F.try_element_at("__bars", F.lit(-1))["c"] - F.col("close")) / risk
+    status = F.when(F.coalesce(F.size("__bars"), F.lit(0)) <= 0, "no data yet").when(F.col("__hit") > 0, "stopped").otherwise("open")
+    return seen.select("id", "symbol", "date", F.round(best, 4).alias("max_favorable_r"), F.round(worst, 4).alias("max_adverse_r"), F.round(F.when(F.col("__hit") > 0, -1.0).otherwise(now), 4).alias("r_to_date"), status.alias("status"))

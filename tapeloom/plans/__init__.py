@@ -1,7 +1,7 @@
 """The library's queries."""
 
 from . import market, more, portfolio, screen, streams, texts  # noqa: F401
-from . import panels  # noqa: F401, E402  after those that it goes on from
+from . import panels, tracking  # noqa: F401, E402  after those that it goes on from
 from .base import ORACLE, QUERIES
 
 

@@ -231,10 +231,10 @@ def stage_classification(spark, sf):
 
 
 def tags(b):
-    """Tag of each bar: BROKEN, CONFIRMED, EXTENDED, ANTICIPATION or WATCH."""
-    keys = ["symbol", "date"]
-    t = ind.with_template(b).select(*keys, "template").join(ind.extended(b).select(*keys, "extended"), keys).join(ind.stages(b).select(*keys, "close", "ma", "stage"), keys)
-    t = t.join(ind.strength(b, src.benchmark(b)).select(*keys, "improving"), keys).join(ind.with_base(b, Stage.base_bars).select(*keys, "top", "depth_pct"), keys)
+    """Tag of each bar: BROKEN, CONFIRMED, EXTENDED, ANTICIPATION or WATCH; windows by symbol on one frame, joined only to
+    the benchmark and the weekly closes."""
+    t = ind.with_base(ind.extended(ind.with_template(b)), Stage.base_bars)
+    t = ind.stages(ind.strength(t, src.benchmark(b)))
     below = (F.col("top") - F.col("close")) / F.col("top") * 100
     broken = (F.col("stage") == 4) | ((F.col("stage") == 3) & (F.col("close") < F.col("ma")))
     tag = F.when(broken, "BROKEN").when((F.col("stage") == 2) & F.col("template") & ~F.col("extended"), "CONFIRMED").when(F.col("extended") & (F.col("stage") == 2), "EXTENDED")

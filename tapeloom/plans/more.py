@@ -10,6 +10,7 @@ from tapeloom.functions import scoring as sc
 from tapeloom.functions import text as tx
 from tapeloom.functions import vocabulary as v
 from tapeloom.functions.windows import back, by_symbol
+from tapeloom.operators import asof as aj
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import metrics as mt
 from tapeloom.sources.bars import benchmark
@@ -181,11 +182,10 @@ def entry_queue(spark, sf):
 def first_bar_after(spark, sf):
     """Fill of a verdict: the open of the first bar after its day."""
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    v = e.filter("event_type = 'signup'").select("event_id", "user_id", D("day").alias("d0"))
-    b = e.filter("event_type = 'view'").groupBy("user_id", "day").agg(F.min_by("value", F.struct("ts", "event_id")).alias("open"))
-    j = v.join(b, "user_id", "left")
-    later = F.when(D("day") > D("d0"), D("day"))
-    return j.groupBy("event_id").agg(F.min(later).alias("fill_day"), F.min_by("open", later).alias("fill_price"))
+    v = e.filter("event_type = 'signup'").select("event_id", "user_id", "day")
+    b = e.filter("event_type = 'view'").groupBy("user_id", "day").agg(F.struct("day", F.min_by("value", F.struct("ts", "event_id")).alias("open")).alias("bar"))
+    j = aj.asof(v, b, ["user_id"], "day", "bar", exact=False, forward=True)
+    return j.select("event_id", D("bar.day").alias("fill_day"), D("bar.open").alias("fill_price"))
 
 
 @query("""WITH t AS (SELECT user_id, event_type, value, event_id FROM events), s AS (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN value END) AS realised, sum(CASE WHEN event_type = 'click' THEN 100-value END) AS unrealised, count_if(event_type = 'signup')::bigint AS pending FROM t GROUP BY 1) SELECT user_id, round(coalesce(realised, 0), 4) AS realised, round(coalesce(unrealised, 0), 4) AS unrealised, pending FROM s""")
@@ -197,8 +197,7 @@ def paper_summary(spark, sf):
 @query("l AS (SELECT symbol, max(date) AS last FROM bars GROUP BY 1), m AS (SELECT max(date) AS today FROM bars), x AS (SELECT count(*) AS symbols, count_if(date_diff('day', last, today) > 5)::bigint AS stale, min(date_diff('day', last, today)) AS freshest FROM l, m) SELECT symbols, stale, stale*1.0::double/symbols > 0.2 AS many_stale, freshest > 5 AS benchmark_old FROM x", on_bars=True)
 def health_flags(spark, sf):
     last = bars(spark, sf).groupBy("symbol").agg(F.max("date").alias("last"))
-    today = F.lit(last.agg(F.max("last")).first()[0])
-    age = F.date_diff(today, D("last"))
+    age = F.date_diff(last.agg(F.max("last")).scalar(), D("last"))
     x = last.agg(F.count(F.lit(1)).alias("symbols"), F.count_if(age > 5).alias("stale"), F.min(age).alias("freshest"))
     return x.select("symbols", "stale", (D("stale") / D("symbols") > 0.2).alias("many_stale"), (D("freshest") > 5).alias("benchmark_old"))
 

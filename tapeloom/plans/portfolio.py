@@ -150,7 +150,7 @@ CAP = "w(days) AS (VALUES (7), (30), (91), (365)), e AS (SELECT max(date) AS tod
 def capture_windows(spark, sf):
     """Return and peak of each symbol over the last 7, 30, 91 and 365 days, in one pass of the bars."""
     b = bars(spark, sf)
-    x = b.withColumn("today", F.lit(b.agg(F.max("date")).first()[0]))
+    x = b.withColumn("today", b.agg(F.max("date")).scalar())
     each = x.withColumn("days", F.explode(F.array(*[F.lit(n) for n in (7, 30, 91, 365)]))).filter(D("date") >= F.date_sub("today", D("days")))
     g = each.groupBy("days", "symbol").agg(F.min_by("close", "date").alias("a"), F.max_by("close", "date").alias("b"), F.max("high").alias("top"))
     return g.select("days", "symbol", r((D("b") / D("a") - 1) * 100).alias("return_pct"), r((D("top") / D("a") - 1) * 100).alias("peak_pct"))

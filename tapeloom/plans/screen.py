@@ -200,9 +200,9 @@ def verdict_matches_alert_5d(spark, sf):
 @query("""WITH v AS (SELECT * FROM events WHERE event_type = 'signup'), m AS (SELECT v.event_id, arg_min(a.event_id, (abs(epoch_us(a.ts)-epoch_us(v.ts)), a.event_id)) AS nearest FROM v JOIN events a ON v.user_id = a.user_id AND a.event_type = 'view' GROUP BY 1) SELECT event_id, nearest FROM m""")
 def nearest_label(spark, sf):
     e = table(spark, sf, "events").withColumn("t", F.unix_micros(D("ts").cast("timestamp")))
-    v = e.filter("event_type = 'signup'").select("event_id", "user_id", D("t").alias("t0"))
-    a = e.filter("event_type = 'view'").select("user_id", "t", D("event_id").alias("other"))
-    return v.join(a, "user_id").groupBy("event_id").agg(F.min_by("other", F.struct(F.abs(D("t") - D("t0")), "other")).alias("nearest"))
+    v = e.filter("event_type = 'signup'").select("event_id", "user_id", "t")
+    a = e.filter("event_type = 'view'").select("user_id", "t", D("event_id").alias("nearest"))
+    return aj.nearest(v, a, ["user_id"], "t", "nearest").filter("nearest is not null").select("event_id", "nearest")
 
 
 @query("WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) AS alerts FROM events) SELECT user_id, event_id, event_type, alerts FROM l WHERE n = 1")

@@ -66,14 +66,20 @@ def benchmark(bars: DataFrame) -> DataFrame:
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of a symbol for each brand: a price walk of its line items in order of date and key."""
+    """Bars of a symbol for each brand: a price walk of its line items in order of date and key.
+
+    Line items meet by symbol and day; only a row a day is put in the order of the symbol, to add what was walked before.
+    """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", F.to_date("l_shipdate").alias("date"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("symbol"))
     step = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_suppkey") * 3) % 201 - 100
-    order = Window.partitionBy("symbol").orderBy("date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    ticks = items.join(part, items.l_partkey == part.p_partkey).withColumn("st", step).withColumn("k", F.row_number().over(order))
-    total = F.sum("st").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ticks = ticks.withColumn("px", F.round(100 * F.exp(total / F.lit(3000.0)), 2))
-    return ticks.groupBy("symbol", "date").agg(
-        F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"), F.sum(F.col("l_quantity").cast("long")).alias("volume")
+    w = Window.partitionBy("symbol", "date").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    ticks = items.join(part, items.l_partkey == part.p_partkey).withColumn("st", step).withColumn("k", F.row_number().over(w))
+    ticks = ticks.withColumn("walk", F.sum("st").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = ticks.groupBy("symbol", "date").agg(
+        F.min_by("walk", "k").alias("open"), F.max("walk").alias("high"), F.min("walk").alias("low"), F.sum("st").alias("close"), F.sum(F.col("l_quantity").cast("long")).alias("volume")
     )
+    before = F.coalesce(F.sum("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("before", before)
+    price = {c: F.round(100 * F.exp((F.col("before") + F.col(c)) / F.lit(3000.0)), 2).alias(c) for c in ("open", "high", "low", "close")}
+    return days.select("symbol", "date", *price.values(), "volume")
