@@ -43,9 +43,10 @@ def complete_only(bars: DataFrame, today: Column, before_close: Column) -> DataF
 
 def upsert(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Old and new bars together, new ones winning; among equal dates of one side the last by the order column, or without
-    one the largest close and volume."""
+    one the largest close and volume (of tables that have them)."""
     both = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(F.desc("__src"), *([F.desc(order)] if order else []), F.desc("close"), F.desc("volume")))
+    ties = [c for c in (order, "close", "volume") if c in old.columns]
+    last = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(F.desc("__src"), *[F.desc(c) for c in ties]))
     return both.withColumn("__n", last).filter("__n = 1").drop("__n", "__src")
 
 
