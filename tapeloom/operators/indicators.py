@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.config import Gap, Stage, Technical
-from tapeloom.functions.windows import back, by_symbol, last_bars, percentile, roll_max, roll_mean, roll_min, roll_price_mean, units
+from tapeloom.functions.windows import back, by_symbol, last_bars, percentile, price_sum, ratio, roll_max, roll_mean, roll_min, roll_price_mean
 
 from .asof import asof
 
@@ -71,11 +71,11 @@ def last_bar(bars: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame, g: Gap = Gap(), n: int = 50) -> DataFrame:
     """Bars that open on a gap with volume and hold it, with the stop of such an entry."""
     out = with_atr(bars).withColumns({"before": back(F.col("close")), "n": F.row_number().over(by_symbol()), "usual": F.avg(F.col("volume")).over(by_symbol().rowsBetween(-n, -1)), "n_usual": F.count("volume").over(by_symbol().rowsBetween(-n, -1))})
-    gap = (F.col("open") / F.col("before") - 1) * 100
+    gap = (ratio(F.col("open"), F.col("before")) - 1) * 100
     fits = (F.col("n") > g.min_bars) & (F.col("n_usual") >= 10) & (F.col("close") >= g.price_min) & (F.col("usual") * F.col("close") >= g.value_min)
     fits = fits & (gap >= g.gap_pct) & (F.col("volume") >= g.volume_times * F.col("usual")) & (F.col("close") > F.col("open")) & (F.col("close") >= F.col("before") * (1 + g.gap_pct / 100))
     stop = F.least(F.col("low"), F.col("close") - g.stop_atr * F.col("atr"))
-    return out.filter(fits).select("symbol", "date", gap.alias("gap_pct"), (F.col("volume") / F.col("usual")).alias("volume_times"), stop.alias("stop"))
+    return out.filter(fits).select("symbol", "date", gap.alias("gap_pct"), ratio(F.col("volume"), F.col("usual")).alias("volume_times"), stop.alias("stop"))
 
 
 def strength(bars: DataFrame, bench: DataFrame, spans=(63, 126, 252)) -> DataFrame:
@@ -83,7 +83,7 @@ def strength(bars: DataFrame, bench: DataFrame, spans=(63, 126, 252)) -> DataFra
     improves. The benchmark has a row a trading day and is broadcast, so that bars keep their partitioning by symbol."""
     both = bars.join(F.broadcast(bench), "date")
     for n in spans:
-        both = both.withColumn(f"rs_{n}", (F.col("close") / back(F.col("close"), n)) / (F.col("bench") / back(F.col("bench"), n)))
+        both = both.withColumn(f"rs_{n}", ratio(ratio(F.col("close"), back(F.col("close"), n)), ratio(F.col("bench"), back(F.col("bench"), n))))
     a, b, c = (F.col(f"rs_{n}") for n in spans)
     return both.withColumn("rs_blend", 0.6 * b + 0.4 * c).withColumn("improving", a > b)
 
@@ -96,10 +96,10 @@ def stages(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
     """
     w = Window.partitionBy("symbol").orderBy("week")
     k, n = s.ma_weeks, s.slope_weeks
-    weeks = weekly(bars).select("symbol", "week", "close").withColumns({"done": F.row_number().over(w) - 1, "rest": F.sum(units(F.col("close"))).over(w.rowsBetween(-(k - 1), -1)) / F.lit(10_000.0), "then": F.sum(units(F.col("close"))).over(w.rowsBetween(-(n + k - 1), -n)) / F.lit(10_000.0)})
+    weeks = weekly(bars).select("symbol", "week", "close").withColumns({"done": F.row_number().over(w) - 1, "rest": price_sum(F.col("close"), w.rowsBetween(-(k - 1), -1)) / F.lit(10_000.0), "then": price_sum(F.col("close"), w.rowsBetween(-(n + k - 1), -n)) / F.lit(10_000.0)})
     t = bars.withColumns({"week": week_label(), "lo": F.min("low").over(last_bars(s.base_bars)), "hi": F.max("high").over(last_bars(s.base_bars))}).join(weeks.drop("close"), ["symbol", "week"])
     ma, old, c = (F.col("rest") + F.col("close")) / k, F.col("then") / k, F.col("close")
-    slope = ma / old - 1
+    slope = ratio(ma, old) - 1
     place = F.when(F.col("hi") > F.col("lo"), (c - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
     stage = F.when((c > ma) & (slope > s.band), 2).when((c < ma) & (slope < -s.band), 4).when(place < 0.5, 1).otherwise(3)
     return t.filter(F.col("done") + 1 >= s.min_weeks).select(*bars.columns, ma.alias("ma"), slope.alias("slope"), place.alias("place"), stage.alias("stage"))
@@ -110,7 +110,7 @@ def base(bars: DataFrame, n: int = 252) -> DataFrame:
     tail = bars.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).filter(F.col("__n") <= n)
     top = tail.groupBy("symbol").agg(F.max(F.struct("high", "__n")).alias("top"), F.min_by("close", "__n").alias("close"))
     low = tail.join(top, "symbol").filter(F.col("__n") <= F.col("top.__n")).groupBy("symbol").agg(F.first("top.high").alias("base_high"), F.min("low").alias("base_low"), F.first(top["close"]).alias("close"))
-    return low.select("symbol", "base_high", "base_low", ((F.col("base_high") - F.col("base_low")) / F.col("base_high") * 100).alias("depth_pct"), ((F.col("base_high") - F.col("close")) / F.col("base_high") * 100).alias("below_high_pct"))
+    return low.select("symbol", "base_high", "base_low", (ratio(F.col("base_high") - F.col("base_low"), F.col("base_high")) * 100).alias("depth_pct"), (ratio(F.col("base_high") - F.col("close"), F.col("base_high")) * 100).alias("below_high_pct"))
 
 
 def with_base(bars: DataFrame, n: int = 252) -> DataFrame:
@@ -120,12 +120,12 @@ def with_base(bars: DataFrame, n: int = 252) -> DataFrame:
     rows = rows.withColumn("__top", F.max(F.struct("high", (-F.col("__k")).alias("k"))).over(w)).withColumn("__lows", F.collect_list("low").over(w))
     since = F.col("__k") + F.col("__top")["k"] + 1  # bars from the top up to this one
     low = F.array_min(F.slice("__lows", -since, since))
-    return rows.withColumns({"top": F.col("__top")["high"], "depth_pct": (F.col("__top")["high"] - low) / F.col("__top")["high"] * 100}).drop("__k", "__top", "__lows")
+    return rows.withColumns({"top": F.col("__top")["high"], "depth_pct": ratio(F.col("__top")["high"] - low, F.col("__top")["high"]) * 100}).drop("__k", "__top", "__lows")
 
 
 def extended(bars: DataFrame, s: Stage = Stage()) -> DataFrame:
     out = with_atr(with_averages(bars, (50,)))
-    over = (F.col("close") / F.col("sma_50") - 1) * 100
+    over = (ratio(F.col("close"), F.col("sma_50")) - 1) * 100
     atrs = F.when(F.col("atr") > 0, (F.col("close") - F.col("sma_50")) / F.col("atr"))
     return out.withColumns({"over_pct": over, "over_atr": atrs}).withColumn("extended", F.coalesce((F.col("over_pct") > s.extended_pct) | (F.col("over_atr") > s.extended_atr), F.lit(False)))
 
@@ -145,9 +145,9 @@ def heat(bars: DataFrame, groups: DataFrame, months: int = 6, stocks: int = 3, i
     span = m.groupBy("symbol").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     grid = span.select("symbol", F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("d")).select("symbol", F.last_day("d").alias("month"))
     w = Window.partitionBy("symbol").orderBy("month")
-    ret = grid.join(m, ["symbol", "month"], "left").withColumn("ret", F.col("close") / F.lag("close", months).over(w)).filter("ret is not null")
+    ret = grid.join(m, ["symbol", "month"], "left").withColumn("ret", ratio(F.col("close"), F.lag("close", months).over(w))).filter("ret is not null")
     market = ret.groupBy("month").agg(F.avg("ret").alias("market"))
-    per = ret.join(market, "month").join(groups, "symbol").groupBy("month", "industry").agg(F.median(F.col("ret") / F.col("market")).alias("rs"), F.count(F.lit(1)).alias("stocks")).filter(F.col("stocks") >= stocks)
+    per = ret.join(market, "month").join(groups, "symbol").groupBy("month", "industry").agg(F.median(ratio(F.col("ret"), F.col("market"))).alias("rs"), F.count(F.lit(1)).alias("stocks")).filter(F.col("stocks") >= stocks)
     enough = per.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("month"))).filter(F.col("n") >= industries)
     return enough.withColumn("heat", percentile(F.col("rs"), "month")).drop("n")
 
@@ -168,7 +168,7 @@ def market_scale(dates: DataFrame, snapshots: DataFrame, bench: DataFrame, max_a
     k = F.lit(1).alias("k")
     snap = snapshots.select(k, "date", F.struct("date", F.round("breadth_pct", 1).alias("pct"), "symbols").alias("snap"))
     w = Window.partitionBy("k").orderBy("date").rowsBetween(-(n - 1), 0)
-    average = F.when(F.count("bench").over(w) >= n, F.sum(units(F.col("bench"))).over(w) / F.lit(10_000.0 * n))
+    average = F.when(F.count("bench").over(w) >= n, price_sum(F.col("bench"), w) / F.lit(10_000.0 * n))
     below = bench.select(k, "date", "bench").withColumn("below", F.col("bench") < average).filter("below is not null")
     j = asof(asof(dates.select(k, "date"), snap, ["k"], "date", "snap"), below, ["k"], "date", "below")
     fresh = (F.date_diff("date", F.col("snap.date")) <= max_age) & (F.col("snap.symbols") >= least) & F.col("snap.pct").isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tapeloom.functions import scoring as sc
 from tapeloom.functions import text as tx
 from tapeloom.functions import vocabulary as v
-from tapeloom.functions.windows import back, by_symbol
+from tapeloom.functions.windows import back, by_symbol, price_sum, ratio
 from tapeloom.operators import asof as aj
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import metrics as mt
@@ -27,7 +27,7 @@ D = F.col
 def benchmark_compare(spark, sf):
     b = bars(spark, sf)
     m = b.join(benchmark(b), "date").groupBy("symbol").agg(*[f(c, "date").alias(n) for c, s in (("close", "c"), ("bench", "b")) for f, n in ((F.min_by, s + "0"), (F.max_by, s + "1"))])
-    return m.select("symbol", r((D("c1") / D("c0") - 1) * 100).alias("return_pct"), r((D("b1") / D("b0") - 1) * 100).alias("bench_pct"))
+    return m.select("symbol", r((ratio(D("c1"), D("c0")) - 1) * 100).alias("return_pct"), r((ratio(D("b1"), D("b0")) - 1) * 100).alias("bench_pct"))
 
 
 @query("s AS (SELECT symbol, date, close AS equity FROM bars WHERE date >= DATE '1999-01-01'), d AS (SELECT *, equity/max(equity) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)-1 AS dd FROM s) SELECT symbol, round((arg_max(equity, date)/arg_min(equity, date)-1)*100, 4) AS return_pct, round(min(dd)*100, 4) AS max_drawdown_pct FROM d GROUP BY 1", on_bars=True)
@@ -90,8 +90,8 @@ def vocabulary_labels(spark, sf):
 def rs_raw_125(spark, sf):
     b = bars(spark, sf)
     j = b.join(benchmark(b), "date")
-    raw = (D("close") / back(D("close"), 125)) / (D("bench") / back(D("bench"), 125))
-    return j.select("symbol", "date", r(raw).alias("rs_raw")).filter("rs_raw is not null")
+    s, m = (ratio(D(c), back(D(c), 125)) - 1 for c in ("close", "bench"))
+    return j.select("symbol", "date", r(ratio(1 + s, 1 + m)).alias("rs_raw")).filter("rs_raw is not null")
 
 
 @query(
@@ -102,10 +102,10 @@ def rs_raw_125(spark, sf):
 def episodic_neglect(spark, sf):
     """Gap signals under three configurations; the third asks for neglect, a quarter without much rise."""
     w = by_symbol()
-    x = bars(spark, sf).withColumns({"before": back(D("close")), "n": F.row_number().over(w), "usual": F.avg("volume").over(w.rowsBetween(-50, -1)), "quarter": back(D("close")) / back(D("close"), 64) - 1})
+    x = bars(spark, sf).withColumns({"before": back(D("close")), "n": F.row_number().over(w), "usual": F.avg("volume").over(w.rowsBetween(-50, -1)), "quarter": ratio(back(D("close")), back(D("close"), 64)) - 1})
     grid = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(g).alias("gap"), F.lit(v).alias("vol"), F.lit(m).cast("double").alias("most")) for c, g, v, m in (("A", 1.5, 1.5, None), ("B", 2.0, 1.5, None), ("C", 1.5, 1.5, 0.10))])
     e = x.filter((D("n") > 60) & (D("close") > D("open"))).withColumn("g", F.explode(grid))
-    fits = ((D("open") / D("before") - 1) * 100 >= D("g.gap")) & (D("volume") >= D("g.vol") * D("usual")) & (D("g.most").isNull() | (D("quarter") <= D("g.most")))
+    fits = ((ratio(D("open"), D("before")) - 1) * 100 >= D("g.gap")) & (D("volume") >= D("g.vol") * D("usual")) & (D("g.most").isNull() | (D("quarter") <= D("g.most")))
     return e.filter(fits).select("g.config", "symbol", "date")
 
 
@@ -118,13 +118,11 @@ def episodic_neglect(spark, sf):
 )
 def anticipation_weekly(spark, sf):
     """Weeks of a flat base near its high whose strength improves."""
-    from tapeloom.functions.windows import units
-
     wk = ind.weekly(bars(spark, sf))
     o = Window.partitionBy("symbol").orderBy("week")
-    w = wk.withColumns({"ma": F.sum(units(D("close"))).over(o.rowsBetween(-29, 0)) / F.lit(300_000.0), "n": F.count(F.lit(1)).over(o.rowsBetween(-29, 0)), "top": F.max("high").over(o.rowsBetween(-51, 0))})
-    x = w.withColumns({"slope": D("ma") / F.lag("ma", 8).over(o) - 1, "q1": D("close") / F.lag("close", 13).over(o) - 1, "q2": D("close") / F.lag("close", 26).over(o) - 1})
-    return x.filter((D("n") == 30) & (F.abs("slope") <= 0.03) & ((D("top") - D("close")) / D("top") <= 0.25) & (D("q1") > D("q2"))).select("symbol", "week")
+    w = wk.withColumns({"ma": price_sum(D("close"), o.rowsBetween(-29, 0)) / F.lit(300_000.0), "n": F.count(F.lit(1)).over(o.rowsBetween(-29, 0)), "top": F.max("high").over(o.rowsBetween(-51, 0))})
+    x = w.withColumns({"slope": ratio(D("ma"), F.lag("ma", 8).over(o)) - 1, "q1": ratio(D("close"), F.lag("close", 13).over(o)) - 1, "q2": ratio(D("close"), F.lag("close", 26).over(o)) - 1})
+    return x.filter((D("n") == 30) & (F.abs("slope") <= 0.03) & (ratio(D("top") - D("close"), D("top")) <= 0.25) & (D("q1") > D("q2"))).select("symbol", "week")
 
 
 @query(f"{FIG_SQL}, s AS (SELECT id, ({V1})::double AS f, CASE WHEN id % 3 = 0 THEN 0.7*(id % 101)/100.0+0.3*(id % 2) ELSE 0 END::double AS t, (id % 7)/6.0::double AS c FROM f), x AS (SELECT id, round(0.5*f+0.35*t+0.15*c, 8) AS composite FROM s) SELECT id, composite, composite >= 0.6 AS listed FROM x")
