@@ -17,6 +17,7 @@ DAYS = 800
 #: Queries held against their SQL on closes of 0 and prices up to 2e13.
 SAME = [
     "episodic_neglect",
+    "extended_flags",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
