@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tapeloom.functions.windows import price_sum, ratio, rounded
+
 BARS = StructType([StructField("symbol", StringType()), StructField("date", DateType()), *[StructField(c, DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
 
 
@@ -54,16 +56,19 @@ def manifest(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def adjustments(old: DataFrame, new: DataFrame, beyond: float = 0.30, least: int = 2) -> DataFrame:
-    """Median of new / old closes over common dates; beyond the bound, the history was rewritten (split, bonus)."""
-    both = old.select("symbol", "date", F.col("close").alias("was")).join(new.select("symbol", "date", F.col("close").alias("now")), ["symbol", "date"]).filter("was > 0")
-    ratio = F.median(F.col("now") / F.col("was"))
-    return both.groupBy("symbol").agg(F.count(F.lit(1)).alias("overlap"), F.round(ratio, 6).alias("ratio"), ((F.count(F.lit(1)) >= least) & (F.abs(ratio - 1) > beyond)).alias("adjusted"))
+def adjustments(old: DataFrame, new: DataFrame, beyond: float = 0.30, least: int = 2, priced: bool = True) -> DataFrame:
+    """Median of new / old closes over common dates; beyond the bound, the history was rewritten (split, bonus). Dates without
+    a positive old close are no overlap; with priced=False they count, their ratio infinite or NaN."""
+    both = old.select("symbol", "date", F.col("close").alias("was")).join(new.select("symbol", "date", F.col("close").alias("now")), ["symbol", "date"])
+    if priced:
+        both = both.filter("was > 0")
+    change = F.median(ratio(F.col("now"), F.col("was")))
+    return both.groupBy("symbol").agg(F.count(F.lit(1)).alias("overlap"), F.round(change, 6).alias("ratio"), ((F.count(F.lit(1)) >= least) & (F.abs(change - 1) > beyond)).alias("adjusted"))
 
 
 def benchmark(bars: DataFrame) -> DataFrame:
     """(date, bench): mean close of all symbols, from ten-thousandths, so that the order of addition changes nothing."""
-    return bars.groupBy("date").agg((F.sum(F.round(F.col("close") * 10_000).cast("long")) / (F.count("close") * F.lit(10_000.0))).alias("bench"))
+    return bars.groupBy("date").agg((price_sum(F.col("close")) / (F.count("close") * F.lit(10_000.0))).alias("bench"))
 
 
 def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +87,5 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     before = F.coalesce(F.sum("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.withColumn("before", before)
-    price = {c: F.round(100 * F.exp((F.col("before") + F.col(c)) / F.lit(3000.0)), 2).alias(c) for c in ("open", "high", "low", "close")}
+    price = {c: rounded(100 * F.exp((F.col("before") + F.col(c)) / F.lit(3000.0)), 2).alias(c) for c in ("open", "high", "low", "close")}
     return days.select("symbol", "date", *price.values(), "volume")

@@ -18,6 +18,7 @@ DAYS = 800
 SAME = [
     "episodic_neglect",
     "extended_flags",
+    "exemplar_capture",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
