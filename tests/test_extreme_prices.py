@@ -19,6 +19,7 @@ SAME = [
     "episodic_neglect",
     "extended_flags",
     "exemplar_capture",
+    "focus_list",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
