@@ -20,6 +20,7 @@ SAME = [
     "extended_flags",
     "exemplar_capture",
     "focus_list",
+    "capture_labels",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
