@@ -21,6 +21,7 @@ SAME = [
     "exemplar_capture",
     "focus_list",
     "capture_labels",
+    "rs_percentile",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
