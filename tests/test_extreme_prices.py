@@ -22,6 +22,7 @@ SAME = [
     "focus_list",
     "capture_labels",
     "rs_percentile",
+    "industry_rs_heat",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
