@@ -23,6 +23,7 @@ SAME = [
     "capture_labels",
     "rs_percentile",
     "industry_rs_heat",
+    "rs_ratios",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
