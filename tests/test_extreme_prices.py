@@ -24,6 +24,7 @@ SAME = [
     "rs_percentile",
     "industry_rs_heat",
     "rs_ratios",
+    "industry_heat_grid",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
