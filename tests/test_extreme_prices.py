@@ -25,6 +25,7 @@ SAME = [
     "industry_rs_heat",
     "rs_ratios",
     "industry_heat_grid",
+    "screener_table",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
