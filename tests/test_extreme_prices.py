@@ -26,6 +26,7 @@ SAME = [
     "rs_ratios",
     "industry_heat_grid",
     "screener_table",
+    "transition_alerts",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
