@@ -27,6 +27,7 @@ SAME = [
     "industry_heat_grid",
     "screener_table",
     "transition_alerts",
+    "tag_counts",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
