@@ -28,6 +28,7 @@ SAME = [
     "screener_table",
     "transition_alerts",
     "tag_counts",
+    "rs_raw_125",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
