@@ -29,6 +29,7 @@ SAME = [
     "transition_alerts",
     "tag_counts",
     "rs_raw_125",
+    "watchlist_tags",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
