@@ -30,6 +30,7 @@ SAME = [
     "tag_counts",
     "rs_raw_125",
     "watchlist_tags",
+    "anticipation_weekly",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
