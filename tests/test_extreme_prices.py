@@ -31,6 +31,7 @@ SAME = [
     "rs_raw_125",
     "watchlist_tags",
     "anticipation_weekly",
+    "benchmark_compare",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
