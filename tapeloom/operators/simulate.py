@@ -95,6 +95,8 @@ def paths(bars: DataFrame, signals: DataFrame, r: Risk = Risk(), gap_stops: bool
 
 
 LOTS = "config string, name string, lot string, entry_date date, entry_price double, exit_date date, exit_price double, exit_reason string, shares long, risk_per_share double, realized_pnl double, r_multiple double, partial_date date, partial_price double, partial_shares long"
+#: What allocate returns: whole numbers of shares as doubles, as they pass 64 bits where prices grow without bound.
+ALLOCATED = LOTS.replace("shares long", "shares double")
 
 
 def after_losses(rs: list[float], n: int = 10, least: int = 5) -> float:
@@ -158,7 +160,7 @@ def allocate(found: DataFrame, grid: list[tuple[str, int, float]], r: Risk = Ris
                     free = date.max if why == "backtest_end" else end  # what the end of the bars closes makes room for nothing
                     due.append((free, (n - early) * price, c.symbol, n - early))
                     pnl = (n - early) * (price - c.entry) + (early * (c.partial_price - c.entry) if early else 0.0)
-                    rows.append((name, c.symbol, lot, day, c.entry, end, price, why, n, risk, pnl, round(pnl / (n * risk), 3), c.partial_date if early else None, c.partial_price if early else None, early))
+                    rows.append((name, c.symbol, lot, day, c.entry, end, price, why, float(n), risk, pnl, round(pnl / (n * risk), 3), c.partial_date if early else None, c.partial_price if early else None, float(early)))
                     until, gain = max(until, free), gain + pnl
                 held[c.symbol] = until, list(c.mark_dates), list(c.mark_closes)
                 done.append((until, len(rows), gain / (shares * risk)))
@@ -171,7 +173,7 @@ def allocate(found: DataFrame, grid: list[tuple[str, int, float]], r: Risk = Ris
         days = asof(found.select("date").distinct().withColumn("__k", F.lit(1)), one, ["__k"], "date", "scale")
         scaled = found.join(days.select("date", F.coalesce("scale", F.lit(1.0)).alias("scale")), "date")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.lit(n).alias("slots"), F.lit(p).alias("risk_pct")) for c, n, p in grid]))
-    return scaled.withColumn("__c", each).select("*", "__c.*").drop("__c").groupBy("config").applyInPandas(of, LOTS)
+    return scaled.withColumn("__c", each).select("*", "__c.*").drop("__c").groupBy("config").applyInPandas(of, ALLOCATED)
 
 
 def equity(lots: DataFrame, bars: DataFrame, configs: list[str], r: Risk = Risk()) -> DataFrame:
