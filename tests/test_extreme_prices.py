@@ -37,6 +37,7 @@ SAME = [
 RUNS = {
     "validated_entries": (1, "validated_entry"),
     "backtest_options": (1, "shares"),
+    "backtest_lots": (1, "shares"),
 }
 
 
