@@ -32,6 +32,7 @@ SAME = [
     "watchlist_tags",
     "anticipation_weekly",
     "benchmark_compare",
+    "base_metrics",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
