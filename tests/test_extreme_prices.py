@@ -33,12 +33,14 @@ SAME = [
     "anticipation_weekly",
     "benchmark_compare",
     "base_metrics",
+    "breadth_200dma",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
     "validated_entries": (1, "validated_entry"),
     "backtest_options": (1, "shares"),
     "backtest_lots": (1, "shares"),
+    "breadth_200dma": (1, "breadth_pct"),
 }
 
 
