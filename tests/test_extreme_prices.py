@@ -34,6 +34,7 @@ SAME = [
     "benchmark_compare",
     "base_metrics",
     "breadth_200dma",
+    "bars_with_missing_averages",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
@@ -41,6 +42,7 @@ RUNS = {
     "backtest_options": (1, "shares"),
     "backtest_lots": (1, "shares"),
     "breadth_200dma": (1, "breadth_pct"),
+    "bars_with_missing_averages": (25 * 199, "lacks_short"),
 }
 
 
