@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeloom.functions.windows import clip01
+from tapeloom.functions.windows import clip01, ratio
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import metrics as mt
 from tapeloom.operators import patterns, simulate, state
@@ -153,4 +153,4 @@ def capture_windows(spark, sf):
     x = b.withColumn("today", b.agg(F.max("date")).scalar())
     each = x.withColumn("days", F.explode(F.array(*[F.lit(n) for n in (7, 30, 91, 365)]))).filter(D("date") >= F.date_sub("today", D("days")))
     g = each.groupBy("days", "symbol").agg(F.min_by("close", "date").alias("a"), F.max_by("close", "date").alias("b"), F.max("high").alias("top"))
-    return g.select("days", "symbol", r((D("b") / D("a") - 1) * 100).alias("return_pct"), r((D("top") / D("a") - 1) * 100).alias("peak_pct"))
+    return g.select("days", "symbol", r((ratio(D("b"), D("a")) - 1) * 100).alias("return_pct"), r((ratio(D("top"), D("a")) - 1) * 100).alias("peak_pct"))

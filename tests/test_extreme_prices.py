@@ -35,6 +35,7 @@ SAME = [
     "base_metrics",
     "breadth_200dma",
     "bars_with_missing_averages",
+    "corrected_cagr",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
