@@ -44,6 +44,7 @@ RUNS = {
     "backtest_lots": (1, "shares"),
     "breadth_200dma": (1, "breadth_pct"),
     "bars_with_missing_averages": (25 * 199, "lacks_short"),
+    "config_grid": (3, "trades"),
 }
 
 
