@@ -36,6 +36,7 @@ SAME = [
     "breadth_200dma",
     "bars_with_missing_averages",
     "corrected_cagr",
+    "corporate_action_check",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
