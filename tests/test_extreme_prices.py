@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tapeloom import plans
+from tapeloom.operators import metrics as mt
 from tapeloom.plans.base import BARS_SQL
 
 from .compare import differences
@@ -37,6 +38,7 @@ SAME = [
     "bars_with_missing_averages",
     "corrected_cagr",
     "corporate_action_check",
+    "signal_outcomes_mfe_mae",
 ]
 #: Query -> least rows and a column without nulls, on prices beyond that, where the SQL fails or there is none.
 RUNS = {
@@ -126,3 +128,17 @@ def test_whole_result(spark, folders, name):
     rows, column = RUNS[name]
     got = plans.queries()[name](spark, folders["large"]).collect()
     assert len(got) >= rows and all(x[column] is not None for x in got)
+
+
+def test_outcomes_without_risk_as_the_sql_has_them(spark):
+    signals = spark.sql("SELECT 1 AS id, 'A' AS symbol, DATE'2020-06-15' AS date, 0.0D AS close, 0.0D AS stop")
+    bars = spark.sql("SELECT 'A' AS symbol, DATE'2020-06-16' AS date, 0.01D AS high, 0.0D AS low, 0.0D AS close")
+    got = mt.outcomes(signals, bars, by_zero=True).first()
+    assert got["max_favorable_r"] == float("inf") and str(got["max_adverse_r"]) == "nan" and got["r_to_date"] == -1.0
+
+
+def test_outcomes_round_as_the_sql_does(spark):
+    x = 3.229578260549512e38
+    signals = spark.sql("SELECT 1 AS id, 'A' AS symbol, DATE'2020-06-15' AS date, 1.0D AS close, 0.0D AS stop")
+    bars = spark.createDataFrame([("A", date(2020, 6, 16), x, 1.0, 1.0)], "symbol string, date date, high double, low double, close double")
+    assert mt.outcomes(signals, bars).first()["max_favorable_r"] == duckdb.sql(f"SELECT round({x!r}::double, 4)").fetchall()[0][0]
